@@ -17,10 +17,7 @@ def find_spans(text: Column, pattern: str, group: bool = False) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if group else F.transform(found, lambda m: F.lit(""))
-    pairs = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), inner.alias("inner")),
-        lambda z: F.struct(z["0"].alias("m"), z["1"].alias("gap"), z["2"].alias("inner")),
-    )
+    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), inner.alias("inner"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, pair: Column) -> Column:

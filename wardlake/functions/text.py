@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from wardlake import fixed
+from wardlake.functions.rows import settle
 
 WORD = r"[\p{L}\p{N}_]+"
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -109,7 +110,7 @@ def with_variants(df: DataFrame, text: str = "text", decoded: bool = True) -> Da
     """
     source = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_folded", strip_zero_width(fold_homoglyphs(nfkc(source))))
-    out = out.withColumn("_stripped", join_spaced_letters(F.col("_folded")))
+    out = settle(out.withColumn("_stripped", join_spaced_letters(F.col("_folded"))))
     out = out.withColumn("_leet", fold_leet(F.col("_stripped")))
     out = out.select(
         *df.columns,
@@ -118,7 +119,7 @@ def with_variants(df: DataFrame, text: str = "text", decoded: bool = True) -> Da
         F.lower(compress_repeats(F.col("_leet"))).alias("compressed"),
         *([decoded_payloads(source).alias("decoded")] if decoded else []),
     )
-    return out
+    return settle(out)
 
 
 def sentences(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions import text
+from wardlake.functions.rows import spread
 from wardlake.session import bounded_rows
 
 TIERS = ("severe", "moderate", "mild")
@@ -103,6 +104,10 @@ def scan(df: DataFrame, text_col: str = "text", tiers: Mapping[str, list[str]] |
     return wide.withColumn("lexicon_score", score(F.col("severe"), F.col("moderate"), F.col("mild"))).drop("scan_text")
 
 
+def _runs_of(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+
 def scan_by_join(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "text", max_words: int = 4) -> DataFrame:
     """The same scan for a lexicon of any size: distinct word runs joined to the term table.
 
@@ -110,20 +115,12 @@ def scan_by_join(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str =
     single space, so phrases match as written.
     """
     wide = with_scan_text(text.with_variants(df.select(id_col, text_col), text_col))
-    pieces = wide.select(
-        id_col,
-        F.explode(F.regexp_extract_all("scan_text", F.lit(rf"{text.WORD}(?: {text.WORD})*"), F.lit(0))).alias("piece"),
+    pieces = spread(
+        wide, [id_col], F.regexp_extract_all("scan_text", F.lit(rf"{text.WORD}(?: {text.WORD})*"), F.lit(0)), "piece"
     ).distinct()
     tokens = pieces.withColumn("w", F.split("piece", " "))
     runs = None
     for n in range(1, max_words + 1):
-        grams = tokens.where(F.size("w") >= n).select(
-            id_col,
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, F.lit(n)), " ")
-                )
-            ).alias("term"),
-        )
+        grams = spread(tokens.where(F.size("w") >= n), [id_col], _runs_of(n), "term")
         runs = grams if runs is None else runs.unionByName(grams)
     return runs.distinct().join(lexicon.select("term", "tier").distinct(), "term").select(id_col, "term", "tier")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import ordered, text
+from wardlake.functions.rows import spread, spread_structs
 
 CODE_HINT = r"[+=({;]"
 TURN_BLOCK = 1024
@@ -31,7 +32,7 @@ def variants(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
             lambda d, i: F.struct(F.lit("decoded").alias("variant"), i.alias("part"), d.alias("form")),
         ),
     )
-    return wide.select(id_col, F.inline(forms)).withColumn("form", F.coalesce("form", F.lit("")))
+    return spread_structs(wide, [id_col], forms).withColumn("form", F.coalesce("form", F.lit("")))
 
 
 def _printable(value: Column) -> Column:
@@ -81,7 +82,7 @@ def unpacked_strings(code: Column) -> Column:
 
 
 def sentence_rows(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    return df.select(id_col, F.posexplode(text.sentences(F.col(text_col))).alias("pos", "sentence"))
+    return spread(df, [id_col], text.sentences(F.col(text_col)), "sentence", "pos")
 
 
 def collapse_messages(turns: DataFrame, greeting: str = "Hello") -> DataFrame:

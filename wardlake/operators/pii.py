@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions import rules, spans
+from wardlake.functions.rows import spread_structs
 
 MIN_LENGTH = 4
 MIN_SCORE = 0.4
 ENTITY = "array<struct<entity_type:string,start:int,end:int,value:string,score:double>>"
 
 
+def _typed(hits: Column, name: str, score: float) -> Column:
+    return F.transform(
+        hits,
+        lambda s: F.struct(
+            F.lit(name).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+            F.lit(score).alias("score"),
+        ),
+    )
+
+
 def entities(source: Column, types: tuple[str, ...] | None = None) -> Column:
     """All entities of a text in pattern order, as an array column."""
     found = []
@@ -20,18 +31,7 @@ def entities(source: Column, types: tuple[str, ...] | None = None) -> Column:
         if types and name not in types:
             continue
         hits = spans.find_spans(source, rules.UNICODE_NOCASE + pattern, group=name == "US_SSN")
-        found.append(
-            F.transform(
-                hits,
-                lambda s, name=name, score=score: F.struct(
-                    F.lit(name).alias("entity_type"),
-                    s["start"].alias("start"),
-                    s["end"].alias("end"),
-                    s["value"].alias("value"),
-                    F.lit(score).alias("score"),
-                ),
-            )
-        )
+        found.append(_typed(hits, name, score))
     return F.filter(F.concat(*found), lambda e: e["end"] - e["start"] >= MIN_LENGTH)
 
 
@@ -41,7 +41,7 @@ def with_entities(df: DataFrame, source: str = "text", types: tuple[str, ...] |
 
 def detect(df: DataFrame, id_col: str, source: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
     """One row per entity."""
-    return df.select(id_col, F.inline(entities(F.col(source), types)))
+    return spread_structs(df, [id_col], entities(F.col(source), types))
 
 
 def merge(primary: DataFrame, second: DataFrame, id_col: str, max_gap: int = 3) -> DataFrame:

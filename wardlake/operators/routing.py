@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions import rules, text, vectors
+from wardlake.functions.rows import spread_structs
 from wardlake.operators import similarity
 from wardlake.session import bounded_rows
 
@@ -67,7 +68,7 @@ def index_texts(endpoints: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("primary").alias("kind"), F.lit(0).alias("ordinal"), F.concat_ws(": ", "name", summary).alias("text"))),
         F.transform(samples, lambda s, i: F.struct(F.lit("exemplar").alias("kind"), (i + 1).alias("ordinal"), s.alias("text"))),
     )
-    return endpoints.select("endpoint", F.inline(entries))
+    return spread_structs(endpoints, ["endpoint"], entries)
 
 
 def index_endpoints(endpoints: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import hashing, rules
+from wardlake.functions.rows import spread
 
 # Our own rule table: (name, confidence, pattern), case matters.
 SECRET_RULES = (
@@ -91,7 +92,7 @@ def with_secret_scan(df: DataFrame, source: str = "text") -> DataFrame:
 def fingerprints(df: DataFrame, keep: list[str], source: str, key: bytes, pattern: str = TOKEN, group: int = 0) -> DataFrame:
     """Distinct keyed fingerprints of the candidate tokens of each row."""
     found = F.array_distinct(F.regexp_extract_all(F.col(source), F.lit(pattern), F.lit(group)))
-    return df.select(*keep, F.explode(found).alias("token")).select(
+    return spread(df, keep, found, "token").select(
         *keep, hashing.hmac_sha256(F.col("token"), key).alias("fingerprint")
     )
 
@@ -124,7 +125,7 @@ def releaked(inputs: DataFrame, outputs: DataFrame, key: bytes, min_length: int
 
     def prints(df: DataFrame) -> DataFrame:
         long_tokens = F.filter(tokens(F.col("text")), lambda t: F.length(t) >= min_length)
-        return df.select("session_id", "turn", F.explode(long_tokens).alias("token")).select(
+        return spread(df, ["session_id", "turn"], long_tokens, "token").select(
             "session_id", "turn", hashing.hmac_sha256(F.col("token"), key).alias("fingerprint")
         )
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.functions import vectors
+from wardlake.functions.rows import spread
 from wardlake.session import bounded_rows
 
 MAX_CORPUS = 4096
@@ -32,7 +33,7 @@ def embed(df: DataFrame, text_col: str = "text", out: str = "vector", stopwords:
 def sparse_rows(df: DataFrame, id_col: str, text_col: str = "text", stopwords: bool = False) -> DataFrame:
     """Non-zero entries of the hashed vectors: (id, bucket, weight)."""
     dense = embed(df.select(id_col, text_col), text_col, stopwords=stopwords)
-    return dense.select(id_col, F.posexplode("vector").alias("bucket", "weight")).where("weight <> 0")
+    return spread(dense, [id_col], "vector", "weight", "bucket").where("weight <> 0")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -110,8 +111,8 @@ def top_k(queries: DataFrame, id_col: str, corpus: DataFrame, k: int = 3, vector
         )
     else:
         scored = q.select(id_col, _vector_ranker(matrix, ids, k)("vector").alias("m"))
-    return scored.select(id_col, F.posexplode("m").alias("p", "m")).select(
-        id_col, (F.col("p") + 1).alias("rank"), "m.match_id", "m.similarity"
+    return spread(scored, [id_col], "m", "match", "p").select(
+        id_col, (F.col("p") + 1).alias("rank"), "match.match_id", "match.similarity"
     )
 
 

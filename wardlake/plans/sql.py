@@ -120,15 +120,15 @@ def rule_hits(column: str, rules: Iterable[tuple[str, float, str]], ignore_case:
         f"CASE WHEN {match(column, pattern, ignore_case)} THEN {{'rule': {lit(name)}, 'score': {score}::DOUBLE}} END"
         for name, score, pattern in rules
     )
-    return f"list_filter([{items}], lambda h: h IS NOT NULL)"
+    return f"list_filter([{items}], lambda zz: zz IS NOT NULL)"
 
 
 def best(hits: str) -> str:
-    return f"coalesce(list_max(list_transform({hits}, lambda h: h.score)), 0.0)"
+    return f"coalesce(list_max(list_transform({hits}, lambda zz: zz.score)), 0.0)"
 
 
 def names(hits: str) -> str:
-    return f"array_to_string(list_sort(list_distinct(list_transform({hits}, lambda h: h.rule))), ',')"
+    return f"array_to_string(list_sort(list_distinct(list_transform({hits}, lambda zz: zz.rule))), ',')"
 
 
 def embedding(name: str, source: str, id_col: str = "id", text_col: str = "text", stopwords: bool = False) -> str:

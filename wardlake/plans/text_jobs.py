@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions import text
+from wardlake.functions.rows import spread
 from wardlake.operators import datasets, envelopes, normalize, policy, registry
 from wardlake.plans import inputs, sql
 from wardlake.plans.catalog import query
@@ -247,7 +248,7 @@ def norm_compress(spark: SparkSession, sf: str) -> DataFrame:
 @query("decode_payloads")
 def decode_payloads(spark: SparkSession, sf: str) -> DataFrame:
     decoded = text.decoded_payloads(F.col("text"))
-    return inputs.probed(spark, sf).select("doc_id", F.posexplode(decoded).alias("part", "payload"))
+    return spread(inputs.probed(spark, sf), ["doc_id"], decoded, "payload", "part")
 
 
 @query("norm_variants")
@@ -278,7 +279,7 @@ def code_texts(spark: SparkSession, sf: str) -> DataFrame:
        WHEN 2 THEN substr(md5(text), 3, 15) ELSE substr(md5(text), 1, 13) END AS unpacked FROM documents""",
 )
 def code_unpack(spark: SparkSession, sf: str) -> DataFrame:
-    return code_texts(spark, sf).select("doc_id", F.explode(normalize.unpacked_strings(F.col("text"))).alias("unpacked"))
+    return spread(code_texts(spark, sf), ["doc_id"], normalize.unpacked_strings(F.col("text")), "unpacked")
 
 
 @query("clean_text", f"SELECT doc_id, {sql.clean('text')} AS text FROM documents")
