@@ -28,8 +28,8 @@ def settle(df: DataFrame) -> DataFrame:
     """A point the optimizer does not merge projections across.
 
     Columns built below are computed once, whatever refers to them above. The
-    filter is always true; being non-deterministic it stays where it is. Later
-    filters do not move below it, so it belongs after the source has been
-    filtered and pruned.
+    filter is always true; it tests a non-deterministic column, so it cannot
+    move below the projection. Later filters do not move below it either: it
+    belongs after the source has been filtered and pruned.
     """
-    return df.where(F.rand(0) >= 0)
+    return df.withColumn("_settled", F.rand(0)).where(F.col("_settled") >= 0).drop("_settled")

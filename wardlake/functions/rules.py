@@ -13,6 +13,58 @@ UNICODE = "(?U)"
 UNICODE_NOCASE = "(?Ui)"
 
 
+# Literal parts that any match of a rule must contain: one of each group. A byte
+# search for them is far cheaper than the pattern and settles most texts.
+REQUIRED: dict[str, tuple[tuple[str, ...], ...]] = {
+    "command_chaining": ((";",),),
+    "pipe_execution": (("|",),),
+    "backtick_execution": (("`",),),
+    "subshell_execution": (("$(",),),
+    "path_traversal": (("/etc/", "/proc/"),),
+    "ssrf_protocol": (("://",),),
+    "override_instructions": (("ignore", "disregard", "forget"), ("instructions", "prompts", "rules")),
+    "dan_jailbreak": (("now", "act", "roleplay"), ("dan", "jailbreak", "unfiltered", "without")),
+    "system_tag_injection": (("[", "<system>", "```system"),),
+    "prompt_exfiltration": (("reveal", "show", "print", "display", "output", "echo", "repeat"), ("instructions", "prompt")),
+    "mode_override": (("mode",),),
+    "instruction_override": (("ignore", "disregard", "forget"), ("instructions", "prompts", "rules")),
+    "roleplay_jailbreak": (("act", "pretend", "roleplay"), ("unfiltered", "dan", "stan", "evilai", "jailbroken", "unrestricted")),
+    "delimiter_injection": (("[", "<system_instruction>", "```system"),),
+    "system_prompt_exfiltration": (("print", "output", "repeat", "show", "reveal", "echo"), ("instructions", "prompt")),
+    "encoding_bypass": (("following",),),
+    "fictional_framing_bypass": (("hypothetically", "educational", "fictional"),),
+    "marginalization": (("people",),),
+    "dehumanization": (("you",), ("trash", "garbage", "shit", "scum", "parasite", "cancer", "disease", "waste")),
+    "self_harm_encouragement": (("miss",),),
+    "self_harm_encouragement_end": (("end",),),
+    "group_hate": (("belong",),),
+    "prompt_announced": (("prompt", "instructions"),),
+    "instructions_quoted": (("instruct",),),
+    "reveal_marker": (("revealed",),),
+    "prompt_follows": (("follows",),),
+    "aws_access_key": (("AKIA",),),
+    "github_token": (("gh",),),
+    "openai_style_key": (("sk-",),),
+    "google_api_key": (("AIza",),),
+    "slack_token": (("xox",),),
+    "private_key_block": (("PRIVATE KEY",),),
+    "uri_credentials": (("://",), ("@",)),
+    "assigned_secret": (("=", ":"), ('"', "'")),
+    "json_web_token": (("eyJ",),),
+    "safe_technical_context": (("kill", "terminate", "execute", "drop", "abort", "destroy", "hang"),),
+    "safe_pop_culture_context": (("kill", "rabbit", "monty"),),
+    "safe_positive_emphasis": (("fuckin", "freaking", "fricking", "damn", "hell", "badass", "holy"),),
+}
+
+
+def possible(text: Column, name: str) -> Column:
+    """Whether a text has the literal parts a rule needs; patterns that ignore case need lower-case text."""
+    met = F.lit(True)
+    for group in REQUIRED.get(name, ()):
+        met = met & contains_any(text, group)
+    return met
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return text.rlike((UNICODE_NOCASE if ignore_case else UNICODE) + pattern)
 
@@ -23,12 +75,15 @@ def any_of(text: Column, patterns: Iterable[str], ignore_case: bool = True) -> C
 
 
 def hits(text: Column, rules: Iterable[Rule], ignore_case: bool = True) -> Column:
-    """Array of (rule, score) for the rules that match, in rule order."""
+    """Array of (rule, score) for the rules that match, in rule order.
+
+    The text is lower case, or the patterns mind case.
+    """
     return F.array_compact(
         F.array(
             *[
                 F.when(
-                    matches(text, pattern, ignore_case),
+                    possible(text, name) & matches(text, pattern, ignore_case),
                     F.struct(F.lit(name).alias("rule"), F.lit(score).alias("score")),
                 )
                 for name, score, pattern in rules
@@ -43,7 +98,7 @@ def hits_any(texts: list[Column], rules: Iterable[Rule], ignore_case: bool = Tru
     for name, score, pattern in rules:
         found = F.lit(False)
         for text in texts:
-            found = found | F.coalesce(matches(text, pattern, ignore_case), F.lit(False))
+            found = found | F.coalesce(possible(text, name) & matches(text, pattern, ignore_case), F.lit(False))
         entries.append(F.when(found, F.struct(F.lit(name).alias("rule"), F.lit(score).alias("score"))))
     return F.array_compact(F.array(*entries))
 

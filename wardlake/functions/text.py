@@ -22,6 +22,10 @@ NFKC_STABLE = (
     r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E"
     r"\u0141-\u0148\u014A-\u017E\u0391-\u03A1\u03A3-\u03CE\u0400-\u0481\u2013\u2014\u2018-\u201D\u200B-\u200D\uFEFF"
 )
+# One range and a few single characters: a fast first test for Latin-1 text.
+LATIN_UNSTABLE = (
+    r"[\u00A0\u00A8\u00AA\u00AF\u00B2\u00B3\u00B4\u00B5\u00B8\u00B9\u00BA\u00BC\u00BD\u00BE\u0100-\x{10FFFF}]"
+)
 
 
 @F.pandas_udf(StringType())
@@ -31,7 +35,11 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC; only rows with a character outside the stable set go to Python."""
-    unstable = text.rlike(f"[^{NFKC_STABLE}]")
+    unstable = (
+        F.when(F.octet_length(text) == F.length(text), F.lit(False))
+        .when(~text.rlike(LATIN_UNSTABLE), F.lit(False))
+        .otherwise(text.rlike(f"[^{NFKC_STABLE}]"))
+    )
     return F.coalesce(_nfkc(F.when(unstable, text)), text)
 
 

@@ -20,7 +20,7 @@ def injection_fast_hits(source: Column) -> Column:
 def with_injection_context(df: DataFrame, model_score: str | None = None) -> DataFrame:
     """Rules over canonical, leet and decoded forms; needs the variant columns."""
     df = df.withColumn(
-        "_forms", F.array_join(F.array_distinct(F.concat(F.array("canonical", "leet"), F.col("decoded"))), "\n\u0001\n")
+        "_forms", F.lower(F.array_join(F.array_distinct(F.concat(F.array("canonical", "leet"), F.col("decoded"))), "\n\u0001\n"))
     )
     df = df.withColumn("injection_hits", rules.hits(F.col("_forms"), fixed.INJECTION_CONTEXT_RULES))
     pattern = rules.best_score(F.col("injection_hits"))
@@ -37,21 +37,21 @@ def with_injection_context(df: DataFrame, model_score: str | None = None) -> Dat
     )
 
 
-def safe_context(source: Column, canonical: Column) -> Column:
+def safe_context(lowered: Column, canonical: Column) -> Column:
     """Name of the first safe context that matches the lower-case text, else null."""
-    lowered = F.lower(source)
     out = None
     for name, patterns in fixed.SAFE_CONTEXTS.items():
-        found = rules.any_of(lowered, patterns, ignore_case=False)
+        found = rules.possible(lowered, name) & rules.any_of(lowered, patterns, ignore_case=False)
         if name == "safe_positive_emphasis":
-            found = found | rules.any_of(canonical, patterns, ignore_case=False)
+            found = found | (rules.possible(canonical, name) & rules.any_of(canonical, patterns, ignore_case=False))
         out = F.when(found, F.lit(name)) if out is None else out.when(found, F.lit(name))
     return out
 
 
 def with_toxicity_context(df: DataFrame, source: str = "text", model_score: str | None = None) -> DataFrame:
     """Contextual toxicity: a safe context wins, else the best of model and reframed hostility."""
-    df = df.withColumn("safe_label", safe_context(F.col(source), F.col("canonical")))
+    df = df.withColumn("_low", F.lower(source))
+    df = df.withColumn("safe_label", safe_context(F.col("_low"), F.col("canonical"))).drop("_low")
     hostile = rules.hits_any([F.col("canonical"), F.col("leet")], fixed.HOSTILITY_RULES, ignore_case=False)
     terms = "|".join(fixed.HOSTILE_TERMS)
     df = df.withColumn("hostile_hits", F.when(F.col("safe_label").isNull(), hostile))

@@ -31,6 +31,8 @@ def entities(source: Column, types: tuple[str, ...] | None = None) -> Column:
         if types and name not in types:
             continue
         hits = spans.find_spans(source, rules.UNICODE_NOCASE + pattern, group=name == "US_SSN")
+        needs = source.contains("@") if name == "EMAIL_ADDRESS" else source.rlike(r"(?U)\d")
+        hits = F.when(needs, hits).otherwise(F.array().cast(spans.SPAN))
         found.append(_typed(hits, name, score))
     return F.filter(F.concat(*found), lambda e: e["end"] - e["start"] >= MIN_LENGTH)
 

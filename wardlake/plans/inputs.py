@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.plans.sql import lit
-from wardlake.sources.tables import table
+from wardlake.sources.tables import table, texts
 
 CASES = ("customer_support", "internal_copilot", "decision_support")
 PLACES = ("US", "EU", "IN", "UK")
@@ -48,7 +48,7 @@ def pick_sql(index: str, choices: tuple) -> str:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents", "doc_id")
 
 
 def probed(spark: SparkSession, sf: str) -> DataFrame:
