@@ -118,7 +118,7 @@ def evaluate(df: DataFrame, strict: Column | None = None) -> DataFrame:
     ``pii_blocks``. Everything is row-local: no shuffle.
     """
     strict = F.coalesce(strict, F.lit(False)) if strict is not None else F.lit(False)
-    df = df.withColumn("_declared", F.transform("declared", policy_key)).withColumn(
+    df = df.withColumn("_declared", F.transform("declared", lambda d: policy_key(d))).withColumn(
         "_keyed",
         F.transform(
             "entities",
