@@ -22,33 +22,29 @@ def subsequence_pattern(token: str) -> str:
     return f"^[^{_escaped(token[0])}]*({body})"
 
 
-def token_score(token: str, field: Column, words: Column) -> Column:
-    """Score of one token in one lower-case field; ``words`` are the field's parts, in order."""
+def token_score(token: str, field: str, words: str) -> Column:
+    """Score of one token in one lower-case field; ``words`` names the field's parts, in order."""
     size = float(len(token))
-    length = F.length(field)
-    at = F.instr(field, token)
-    edge = (at == 1) | F.substring(field, at - 1, F.lit(1)).rlike(SEPARATORS)
-    starts = F.filter(words, lambda w: w.startswith(token))
-    acronym = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    score = (
-        F.when(length == 0, F.lit(0.0))
-        .when(field == token, 100.0)
-        .when(field.startswith(token), 90 + F.lit(size) / length * 10)
-        .when(at > 0, F.when(edge, 80.0).otherwise(65.0) + F.lit(size) / length * 10)
-        .when(F.size(starts) > 0, 75 + F.lit(size) / F.length(F.try_element_at(starts, F.lit(1))) * 10)
-    )
+    escaped = token.replace("\\", "\\\\").replace("'", "\\'")
+    t = f"'{escaped}'"
+    starts = f"filter({words}, w -> startswith(w, {t}))"
+    acronym = f"array_join(transform({words}, w -> substr(w, 1, 1)), '')"
+    edges = SEPARATORS.replace("\\", "\\\\").replace("'", "\\'")
+    arms = [
+        f"WHEN length({field}) = 0 THEN 0D",
+        f"WHEN {field} = {t} THEN 100D",
+        f"WHEN startswith({field}, {t}) THEN 90 + {size}D / length({field}) * 10",
+        f"WHEN instr({field}, {t}) > 0 THEN CASE WHEN substr({field}, instr({field}, {t}) - 1, 1) RLIKE '{edges}' THEN 80D ELSE 65D END "
+        f"+ {size}D / length({field}) * 10",
+        f"WHEN size({starts}) > 0 THEN 75 + {size}D / length(try_element_at({starts}, 1)) * 10",
+    ]
     if len(token) >= 2:
-        score = score.when(acronym.contains(token), 70.0)
+        arms.append(f"WHEN contains({acronym}, {t}) THEN 70D")
     if len(token) >= 4:
-        spans = F.filter(
-            F.transform(words, lambda w: F.length(F.regexp_extract(w, subsequence_pattern(token), 1))),
-            lambda n: (n > 0) & (n <= len(token) + 2),
-        )
-        span = F.try_element_at(spans, F.lit(1))
-        score = score.when(
-            F.size(spans) > 0, F.greatest(F.lit(30.0), F.least(F.lit(80.0), 50 + F.lit(size) / span * 20))
-        )
-    return F.coalesce(score, F.lit(0.0))
+        pattern = subsequence_pattern(token).replace("\\", "\\\\").replace("'", "\\'")
+        spans = f"filter(transform({words}, w -> length(regexp_extract(w, '{pattern}', 1))), n -> n > 0 AND n <= {len(token) + 2})"
+        arms.append(f"WHEN size({spans}) > 0 THEN greatest(30D, least(80D, 50 + {size}D / try_element_at({spans}, 1) * 20))")
+    return F.expr(f"coalesce(CASE {' '.join(arms)} ELSE 0D END, 0D)")
 
 
 def fuzzy(df: DataFrame, query: str, weights: dict[str, float]) -> DataFrame:
@@ -63,7 +59,7 @@ def fuzzy(df: DataFrame, query: str, weights: dict[str, float]) -> DataFrame:
     for i, token in enumerate(tokens):
         best = F.lit(0.0)
         for name, weight in weights.items():
-            best = F.greatest(best, F.coalesce(token_score(token, F.col(f"_f_{name}"), F.col(f"_w_{name}")), F.lit(0.0)) * weight)
+            best = F.greatest(best, token_score(token, f"_f_{name}", f"_w_{name}") * weight)
         df = df.withColumn(f"_t_{i}", best)
     every = F.lit(True)
     total = F.lit(0.0)

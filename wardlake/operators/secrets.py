@@ -24,6 +24,7 @@ SECRET_RULES = (
 TOKEN = r"[A-Za-z0-9_+/=-]+(?:\.[A-Za-z0-9_+/=-]+)*"
 MIN_TOKEN = 20
 MIN_BITS = 4.3
+MIN_CANDIDATE = 8
 HEX40 = r"token = \"([0-9a-f]{40})\""
 
 
@@ -90,8 +91,10 @@ def with_secret_scan(df: DataFrame, source: str = "text") -> DataFrame:
 
 
 def fingerprints(df: DataFrame, keep: list[str], source: str, key: bytes, pattern: str = TOKEN, group: int = 0) -> DataFrame:
-    """Distinct keyed fingerprints of the candidate tokens of each row."""
-    found = F.array_distinct(F.regexp_extract_all(F.col(source), F.lit(pattern), F.lit(group)))
+    """Distinct keyed fingerprints of the candidate tokens (8 characters or more) of each row."""
+    found = F.filter(
+        F.array_distinct(F.regexp_extract_all(F.col(source), F.lit(pattern), F.lit(group))), lambda t: F.length(t) >= MIN_CANDIDATE
+    )
     return spread(df, keep, found, "token").select(
         *keep, hashing.hmac_sha256(F.col("token"), key).alias("fingerprint")
     )

@@ -36,6 +36,18 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.exclude(datasets.dedupe(kept(spark, sf)), table(spark, sf, "benchmark"))
 
 
+def pool_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The pool without its texts (id, label, source, digest), written once.
+
+    Balancing and splitting read it several times; the texts are read, cleaned
+    and hashed a single time and join back by id.
+    """
+    rows = pool(spark, sf).select("sample_id", "label", "source", "digest")
+    path = shared_folder(spark, "pool")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query(
     "length_label_filter",
     f"WITH {CLEANED} SELECT k.sample_id, k.digest, CASE WHEN greatest(k.label, coalesce(1 - l.quality, 0)) > 0 THEN 1 ELSE 0 END AS any_label FROM kept k LEFT JOIN labels l ON k.sample_id = 'documents:' || l.doc_id",
@@ -82,7 +94,7 @@ BALANCED = f"""{CLEANED}, sized AS (SELECT least(count(*) FILTER (label = 1), co
 
 @query("class_balance", f"WITH {BALANCED} SELECT sample_id, label FROM balanced")
 def class_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return datasets.balance(pool(spark, sf)).select("sample_id", "label")
+    return datasets.balance(pool_index(spark, sf)).select("sample_id", "label")
 
 
 SPLIT = f"""{CLEANED}, placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_draw('split')}, sample_id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM pool),
@@ -91,7 +103,7 @@ SPLIT = f"""{CLEANED}, placed AS (SELECT *, row_number() OVER (PARTITION BY labe
 
 @query("stratified_split", f"WITH {SPLIT} SELECT sample_id, label, split, CASE WHEN split = 'test' THEN 'val' ELSE 'train' END AS two_way FROM split")
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = datasets.split(pool(spark, sf), three_way=True)
+    rows = datasets.split(pool_index(spark, sf), three_way=True)
     return rows.select("sample_id", "label", "split", F.when(F.col("split") == "test", "val").otherwise("train").alias("two_way"))
 
 
@@ -100,7 +112,7 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SPLIT} SELECT split, 'toxicity' AS task, count(*) AS n_samples, count(*) FILTER (label = 1) AS n_positive, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM split GROUP BY split""",
 )
 def dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return datasets.manifest(datasets.split(pool(spark, sf), three_way=True), "toxicity")
+    return datasets.manifest(datasets.split(pool_index(spark, sf), three_way=True), "toxicity")
 
 
 _CURATED = sql.values([(f"curated:{i}", t) for i, t in enumerate(datasets.CURATED_SAFE)], "sample_id, text")
@@ -197,7 +209,8 @@ def kfold_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 def training_table(spark: SparkSession, sf: str) -> DataFrame:
     """The split samples, written once: training reads them many times."""
-    samples = datasets.split(pool(spark, sf), three_way=True).select("sample_id", "text", "label", "split")
+    rows = pool(spark, sf).select("sample_id", "text")
+    samples = rows.join(datasets.split(pool_index(spark, sf), three_way=True), "sample_id").select("sample_id", "text", "label", "split")
     path = shared_folder(spark, "training")
     samples.write.parquet(path)
     return spark.read.schema(samples.schema).parquet(path)

@@ -212,7 +212,7 @@ _HELD = f"""held AS (SELECT doc_id, unnest(regexp_extract_all(text, {sql.lit(sec
 @query(
     "secret_fingerprint_match",
     f"""WITH {_HELD}, cand AS (SELECT DISTINCT doc_id, {hashing.hmac_sha256_sql('t', inputs.KEY)} AS fingerprint FROM
-        (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {sql.lit(secrets.TOKEN)}))) AS t FROM documents))
+        (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {sql.lit(secrets.TOKEN)}))) AS t FROM documents) WHERE length(t) >= {secrets.MIN_CANDIDATE})
     SELECT doc_id, secret_id, secret_type, action_on_match FROM cand JOIN registry USING (fingerprint) WHERE status = 'active'""",
 )
 def secret_fingerprint_match(spark: SparkSession, sf: str) -> DataFrame:

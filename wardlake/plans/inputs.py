@@ -70,7 +70,7 @@ PROBED = f"""probed AS (SELECT doc_id, text || ' ' || coalesce({pick_sql('doc_id
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations")
+    return texts(spark, sf, "conversations", "conv_id", "turn")
 
 
 def interactions(spark: SparkSession, sf: str) -> DataFrame:

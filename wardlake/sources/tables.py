@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SPLITS: dict[tuple[str, str, int], int] = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+def texts(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
     """A table for work that is heavy per row.
 
     A table of few files or row groups would use few cores, so it is spread by
-    key; one with at least as many splits as cores is read as it lies.
+    its keys; one with at least as many splits as cores is read as it lies.
     """
     df = table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    place = (folder, name, cores)
+    if place not in _SPLITS:
+        _SPLITS[place] = df.rdd.getNumPartitions()
+    return df.repartition(cores, *keys) if _SPLITS[place] < cores else df

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import ordered
-from wardlake.functions.rows import spread
+from wardlake.functions.rows import settle, spread, spread_structs
 from wardlake.operators import analytics, leakage
 
 WINDOW = 30
@@ -47,14 +47,17 @@ def tokens(df: DataFrame, id_col: str, source: str = "text") -> DataFrame:
     return spread(df, [id_col], parts, "token", "seq")
 
 
-def _stop_kind(window_text: Column, markers: tuple[str, ...], extra: Column | None = None) -> Column:
+# Characters with which a secret marker or a tripwire can end. The first window
+# that leaks ends with the token that completes the match, so only tokens with
+# one of these have to be tried.
+ENDINGS = r"[-_A\]>]"
+
+
+def _stop_kind(window_text: Column, markers: tuple[str, ...]) -> Column:
     secret = F.lit(False)
     for marker in markers:
         secret = secret | window_text.contains(marker)
-    leak = leakage.canary(window_text)
-    if extra is not None:
-        leak = leak | extra
-    return F.when(leak, "prompt_leak").when(secret, "secret")
+    return F.when(leakage.canary(window_text), "prompt_leak").when(secret, "secret")
 
 
 def guard_tokens(stream_tokens: DataFrame, id_col: str, markers: tuple[str, ...], size: int = WINDOW, block: int = 2048) -> DataFrame:
@@ -62,18 +65,27 @@ def guard_tokens(stream_tokens: DataFrame, id_col: str, markers: tuple[str, ...]
 
     A long stream is cut into blocks of tokens; the tail of each block is
     repeated at the head of the next, so every window is seen whole and no
-    stream is held in one task.
+    stream is held in one task. A block's list is bounded by the block size.
     """
     home = ordered.block_chunk(F.col("seq"), block)
     spill = F.when((F.col("seq") + size - 1) >= (home + 1) * block, home + 1)
-    copies = stream_tokens.withColumn("_home", home).withColumn("_blk", F.explode(F.array_compact(F.array(home, spill))))
-    w = Window.partitionBy(id_col, "_blk").orderBy("seq").rowsBetween(-(size - 1), 0)
-    seen = copies.withColumn("_window", F.array_join(F.collect_list("token").over(w), "")).where(F.col("_home") == F.col("_blk"))
-    judged = seen.select(id_col, "seq", "token", _stop_kind(F.col("_window"), markers).alias("stop"))
-    first = judged.where(F.col("stop").isNotNull()).groupBy(id_col).agg(
-        F.min("seq").alias("_at"), F.min_by("stop", "seq").alias("_kind")
+    copies = stream_tokens.withColumn("_blk", F.explode(F.array_compact(F.array(home, spill))))
+    blocks = copies.groupBy(id_col, "_blk").agg(F.array_sort(F.collect_list(F.struct("seq", "token"))).alias("t"))
+    places = F.filter(
+        F.sequence(F.lit(1), F.size("t")),
+        lambda i: F.element_at("t", i)["token"].rlike(ENDINGS) & (F.element_at("t", i)["seq"] >= F.col("_blk") * block),
     )
-    out = judged.join(first, id_col, "left").where(F.col("_at").isNull() | (F.col("seq") <= F.col("_at")))
+    blocks = settle(blocks.withColumn("_places", places))
+
+    def tried(i: Column) -> Column:
+        first = F.greatest(i - (size - 1), F.lit(1))
+        window_text = F.array_join(F.transform(F.slice("t", first, i - first + 1), lambda x: x["token"]), "")
+        return F.struct(F.element_at("t", i)["seq"].alias("seq"), _stop_kind(window_text, markers).alias("kind"))
+
+    stops = F.filter(F.transform("_places", tried), lambda s: s["kind"].isNotNull())
+    found = spread_structs(blocks, [id_col], stops)
+    first = found.groupBy(id_col).agg(F.min("seq").alias("_at"), F.min_by("kind", "seq").alias("_kind"))
+    out = stream_tokens.join(first, id_col, "left").where(F.col("_at").isNull() | (F.col("seq") <= F.col("_at")))
     hit = F.col("seq") == F.col("_at")
     return out.select(
         id_col, "seq", F.when(hit, F.concat(F.lit(" [BLOCKED: "), F.upper("_kind"), F.lit("]"))).otherwise(F.col("token")).alias("content"),
