@@ -226,7 +226,7 @@ def proposals(rules_table: DataFrame, profile: DataFrame, outcomes: DataFrame, d
     )
     proposed = joined.withColumn("current_threshold", now).where(better).withColumn("proposal_id", pid)
     open_ones = proposed.join(decided.select(*keys, "proposal_id"), [*keys, "proposal_id"], "left_anti")
-    scored = open_ones.join(F.broadcast(profile.select("check_name", "mean_score")), "check_name", "left")
+    scored = open_ones.join(profile.select("check_name", "mean_score"), "check_name", "left")
     reviews = outcomes.select("total_reviews", "false_positive_rate", F.lit(1).alias("_k"))
     return (
         scored.withColumn("_k", F.lit(1))
@@ -371,7 +371,7 @@ def usage_rollup(responses: DataFrame, profiles: DataFrame) -> DataFrame:
         F.coalesce("completion_tokens", n_words(F.col("completion"))).alias("c"),
     )
     summed = counted.groupBy("model", "use_case").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"), F.sum("c").alias("c"))
-    priced = summed.join(F.broadcast(profiles), "model", "left").withColumn(
+    priced = summed.join(profiles, "model", "left").withColumn(
         "cost", (F.col("p") + F.col("c")) / 1000.0 * F.coalesce("cost_per_1k_tokens", F.lit(0.0))
     )
     return priced.rollup("model", "use_case").agg(

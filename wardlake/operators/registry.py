@@ -108,7 +108,7 @@ def resolve_configs(requests: DataFrame, configs: DataFrame, permissions: DataFr
     return (
         requests.join(by_model, "model_requested", "left")
         .join(by_case, "use_case", "left")
-        .join(F.broadcast(permissions), "use_case", "left")
+        .join(permissions, "use_case", "left")
         .withColumn(
             "config_source",
             F.when(F.col("m").isNotNull(), "model").when(F.col("u").isNotNull(), "use_case").otherwise("baseline"),

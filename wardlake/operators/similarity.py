@@ -69,14 +69,18 @@ def _vector_ranker(corpus: np.ndarray, ids: list[str], k: int):
     return rank
 
 
-def with_matches(queries: DataFrame, text_col: str, corpus: DataFrame, k: int, out: str) -> DataFrame:
-    """Add the ``k`` best corpus items of each text as an array; corpus within the limit.
+def with_matches(queries: DataFrame, id_col: str, text_col: str, corpus: DataFrame, k: int, out: str) -> DataFrame:
+    """Add the ``k`` best corpus items of each text as an array.
 
-    Corpus columns: corpus_id, text.
+    Corpus columns: corpus_id, text. Within the limit this is row-local; a
+    larger corpus goes through ``top_k`` and the matches join back by id.
     """
     rows = bounded_rows(embed(corpus.select("corpus_id", "text")).orderBy("corpus_id"), MAX_CORPUS)
     if rows is None:
-        raise ValueError("corpus beyond the row-local limit; use top_k")
+        found = top_k(queries.select(id_col, F.col(text_col).alias("text")), id_col, corpus, k)
+        listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "match_id", "similarity"))).alias("_m"))
+        matches = F.transform("_m", lambda m: F.struct(m["match_id"].alias("match_id"), m["similarity"].alias("similarity")))
+        return queries.join(listed.select(id_col, matches.alias(out)), id_col, "left")
     if not rows:
         return queries.withColumn(out, F.array().cast(MATCHES))
     matrix = np.array([r["vector"] for r in rows], dtype=float)

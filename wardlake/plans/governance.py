@@ -18,11 +18,11 @@ from wardlake.operators import detect, fusion, lexicon, normalize, pii, policy,
 CHECKS = ("prompt_injection", "toxicity", "secrets", "pii")
 
 
-def guard_checks(requests: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+def guard_checks(requests: DataFrame, id_col: str, corpus: DataFrame | None = None) -> DataFrame:
     """Add ``checks`` (four fused checks in guard order) and the permission outcome."""
     df = requests
     if corpus is not None:
-        df = similarity.with_matches(df, "text", corpus, 1, "_near").withColumn("_vec", similarity.max_similarity(F.col("_near"))).drop("_near")
+        df = similarity.with_matches(df, id_col, "text", corpus, 1, "_near").withColumn("_vec", similarity.max_similarity(F.col("_near"))).drop("_near")
     else:
         df = df.withColumn("_vec", F.lit(0.0))
     df = with_variants(df)
@@ -54,7 +54,7 @@ def guard(requests: DataFrame, id_col: str, corpus: DataFrame | None = None, rul
     spark = requests.sparkSession
     rules_table = rules_table if rules_table is not None else policy.default_rules(spark)
     limits = policy.threshold_maps(spark, rules_table, list(CHECKS))
-    df = guard_checks(requests, corpus).join(F.broadcast(limits), ["use_case", "geography"], "left")
+    df = guard_checks(requests, id_col, corpus).join(F.broadcast(limits), ["use_case", "geography"], "left")
     df = df.withColumn("_d", policy.decide_row(F.col("checks"), F.col("thresholds"), F.col("blocked_pii"), version))
     df = df.select(
         *requests.columns, "checks", "detected_pii", "blocked_pii", F.lit("input").alias("direction"),

@@ -39,7 +39,7 @@ def nearest_sql(source: str, id_col: str) -> str:
       CASE WHEN cv IN {fusion.HARD_SAFE} THEN 'L2_contextual_ml' WHEN vx > greatest(lx, cx) THEN 'L3_vector_store' WHEN cx > lx THEN 'L2_contextual_ml' ELSE 'L1_lexicon' END AS layer FROM f""",
 )
 def fuse_toxicity_in(spark: SparkSession, sf: str) -> DataFrame:
-    df = similarity.with_matches(inputs.probed(spark, sf), "text", corpus(spark, sf), 1, "near")
+    df = similarity.with_matches(inputs.probed(spark, sf), "doc_id", "text", corpus(spark, sf), 1, "near")
     df = lexicon.scan(df)
     df = detect.with_toxicity_context(df)
     check = fusion.toxicity_in(
@@ -58,7 +58,7 @@ def fuse_toxicity_in(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN gs >= 0.8 THEN 'fail' WHEN gs >= 0.4 THEN 'warn' ELSE 'pass' END AS strict_verdict FROM f""",
 )
 def fuse_injection_in(spark: SparkSession, sf: str) -> DataFrame:
-    df = similarity.with_matches(inputs.probed(spark, sf), "text", corpus(spark, sf), 1, "near")
+    df = similarity.with_matches(inputs.probed(spark, sf), "doc_id", "text", corpus(spark, sf), 1, "near")
     df = detect.with_injection_context(text.with_variants(df))
     fast = rules.best_score(detect.injection_fast_hits(F.col("text")))
     df = df.withColumn("fast", fast).withColumn("vec", similarity.max_similarity(F.col("near")))
@@ -76,7 +76,7 @@ def fuse_injection_in(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN v > r THEN 'L3_vector_store' ELSE 'detect_secrets' END AS layer FROM s""",
 )
 def fuse_secrets_in(spark: SparkSession, sf: str) -> DataFrame:
-    df = similarity.with_matches(inputs.probed(spark, sf), "text", corpus(spark, sf), 1, "near")
+    df = similarity.with_matches(inputs.probed(spark, sf), "doc_id", "text", corpus(spark, sf), 1, "near")
     df = secrets.with_secret_scan(df)
     check = fusion.secrets_in(F.col("secret_score"), similarity.max_similarity(F.col("near")))
     return df.select("doc_id", check.alias("c")).select("doc_id", "c.score", "c.verdict", "c.layer")

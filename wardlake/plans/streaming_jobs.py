@@ -81,7 +81,11 @@ def window_sigma_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _alert_rows(windows.windowed_rates(ev, f"{WIDTH_S} seconds", watermark=False))
 
 
-@query("stream_sigma_alerts")
+@query(
+    "stream_sigma_alerts",
+    f"""WITH {_WINDOWED}, closed AS (SELECT * FROM rated WHERE window_start::TIMESTAMP + INTERVAL '{WIDTH_S} seconds' <= (SELECT max(created_at) - INTERVAL '10 minutes' FROM audit))
+    {alerts_sql('closed', 'window_start, total_interactions')}""",
+)
 def stream_sigma_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """Alerts of the windows a stream has closed; the last window stays open behind the watermark."""
     ev = inputs.as_audit(read_stream(spark, sf, "events"))
