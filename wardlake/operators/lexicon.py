@@ -59,6 +59,11 @@ def with_scan_text(df: DataFrame, out: str = "scan_text") -> DataFrame:
     return df.withColumn(out, F.array_join(forms, "\n"))
 
 
+def _terms(terms: list[str]) -> Column:
+    """Terms as one array; constant folding turns it into a literal."""
+    return F.split(F.lit("\n".join(terms)), "\n")
+
+
 def _phrase_hit(scan: Column, phrase: str) -> Column:
     bounded = rf"(?<!{text.WORD_CHAR})" + phrase + rf"(?!{text.WORD_CHAR})"
     return scan.contains(phrase) & scan.rlike(bounded)
@@ -73,7 +78,7 @@ def with_hits(df: DataFrame, scan: str = "scan_text", tiers: Mapping[str, list[s
         single = [t for t in tiers[tier] if " " not in t]
         phrases = [t for t in tiers[tier] if " " in t]
         found = (
-            F.array_intersect(F.col("_tokens"), F.array(*[F.lit(t) for t in single]))
+            F.array_intersect(F.col("_tokens"), _terms(single))
             if single
             else F.array().cast("array<string>")
         )

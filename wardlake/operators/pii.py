@@ -11,39 +11,28 @@ from wardlake.functions.rows import spread_structs
 
 MIN_LENGTH = 4
 MIN_SCORE = 0.4
-ENTITY = "array<struct<entity_type:string,start:int,end:int,value:string,score:double>>"
+ENTITY = "array<struct<start:int,end:int,value:string,entity_type:string,score:double>>"
 
 
-def _typed(hits: Column, name: str, score: float) -> Column:
-    return F.transform(
-        hits,
-        lambda s: F.struct(
-            F.lit(name).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-            F.lit(score).alias("score"),
-        ),
-    )
-
-
-def entities(source: Column, types: tuple[str, ...] | None = None) -> Column:
-    """All entities of a text in pattern order, as an array column."""
+def entities(source: str = "text", types: tuple[str, ...] | None = None) -> Column:
+    """All entities of the text column ``source`` in pattern order, as an array column."""
     found = []
     for name, score, pattern in fixed.PII_PATTERNS:
         if types and name not in types:
             continue
-        hits = spans.find_spans(source, rules.UNICODE_NOCASE + pattern, group=name == "US_SSN")
-        needs = source.contains("@") if name == "EMAIL_ADDRESS" else source.rlike(r"(?U)\d")
-        hits = F.when(needs, hits).otherwise(F.array().cast(spans.SPAN))
-        found.append(_typed(hits, name, score))
+        needs = f"contains({source}, '@')" if name == "EMAIL_ADDRESS" else f"{source} RLIKE '(?U)\\\\d'"
+        extra = f"'entity_type', '{name}', 'score', cast({score} AS double)"
+        found.append(spans.find_spans(source, rules.UNICODE_NOCASE + pattern, name == "US_SSN", needs, extra))
     return F.filter(F.concat(*found), lambda e: e["end"] - e["start"] >= MIN_LENGTH)
 
 
 def with_entities(df: DataFrame, source: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
-    return df.withColumn("entities", entities(F.col(source), types))
+    return df.withColumn("entities", entities(source, types))
 
 
 def detect(df: DataFrame, id_col: str, source: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
     """One row per entity."""
-    return spread_structs(df, [id_col], entities(F.col(source), types))
+    return spread_structs(df, [id_col], entities(source, types)).select(id_col, "entity_type", "start", "end", "value", "score")
 
 
 def merge(primary: DataFrame, second: DataFrame, id_col: str, max_gap: int = 3) -> DataFrame:

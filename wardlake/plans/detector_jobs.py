@@ -287,7 +287,7 @@ def second_recogniser(spark: SparkSession, sf: str) -> DataFrame:
     moved = pii.detect(docs, "doc_id", types=("EMAIL_ADDRESS", "PHONE_NUMBER")).select(
         "doc_id", "entity_type", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), "value", F.lit(0.6).alias("score")
     )
-    ips = spread_structs(docs, ["doc_id"], find_spans(F.col("text"), "(?U)" + IP)).select(
+    ips = spread_structs(docs, ["doc_id"], find_spans("text", "(?U)" + IP)).select(
         "doc_id", F.lit("IP_ADDRESS").alias("entity_type"), "start", "end", "value", F.lit(0.6).alias("score")
     )
     return moved.unionByName(ips)
