@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions import ordered, text
+from wardlake.functions.rows import settle
 
 LENGTHS = {"general": (5, 2000), "jailbreak": (10, 2500), "toxicity": (4, 1000)}
 
@@ -30,7 +31,7 @@ def union_sources(*sources: tuple[DataFrame, str, Column, Column, Column]) -> Da
 
 
 def clean(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("text", text.clean_text(F.col("text")))
+    return settle(samples.withColumn("text", text.clean_text(F.col("text"))))
 
 
 def any_label(*flags: Column) -> Column:
@@ -55,6 +56,12 @@ def dedupe(samples: DataFrame) -> DataFrame:
     return samples.join(keep.select("sample_id"), "sample_id", "left_semi")
 
 
+def dedupe_index(samples: DataFrame) -> DataFrame:
+    """The same choice for samples without their texts: one aggregate, no join back."""
+    first = F.min(F.struct("sample_id", "source")).alias("s")
+    return samples.groupBy("digest", "label").agg(first).select("s.sample_id", "label", "s.source", "digest")
+
+
 def exclude(samples: DataFrame, holdout: DataFrame) -> DataFrame:
     """Samples whose text is not in the hold-out set."""
     held = with_digest(clean(holdout.select("text"))).select("digest").distinct()

@@ -42,7 +42,8 @@ def pool_index(spark: SparkSession, sf: str) -> DataFrame:
     Balancing and splitting read it several times; the texts are read, cleaned
     and hashed a single time and join back by id.
     """
-    rows = pool(spark, sf).select("sample_id", "label", "source", "digest")
+    narrow = kept(spark, sf).select("sample_id", "label", "source", "digest")
+    rows = datasets.exclude(datasets.dedupe_index(narrow), table(spark, sf, "benchmark")).select("sample_id", "label", "source", "digest")
     path = shared_folder(spark, "pool")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
