@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import secret_scan, toxicity
+from wardlake.llm import packing, secret_scan, token_files, toxicity
 from wardlake.plans.catalog import query
 from wardlake.sources.tables import table
 
@@ -27,3 +27,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.with_secrets(docs).drop("text")
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs))
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read(token_files.write(docs))
