@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import chat_format, packing, secret_scan, token_files, topk, toxicity
+from wardlake.llm import chat_format, fingerprints, packing, secret_scan, token_files, topk, toxicity
 from wardlake.plans.catalog import query
 from wardlake.sources.tables import table
 
@@ -61,3 +61,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op1_iblt_fingerprints")
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_next(table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    found = fingerprints.compared(rows, "text", {"edited": "edited", "next": "next_text"})
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
