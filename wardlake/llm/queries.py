@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import chat_format, fingerprints, packing, secret_scan, token_files, topk, toxicity
+from wardlake.llm import chat_format, fingerprints, packing, secret_scan, token_counts, token_files, topk, toxicity, unigram_codec
 from wardlake.plans.catalog import query
 from wardlake.sources.tables import table
 
@@ -70,3 +70,18 @@ def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
     found = fingerprints.compared(rows, "text", {"edited": "edited", "next": "next_text"})
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op10_unigram_codec")
+def op10_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = unigram_codec.with_text(unigram_codec.with_ids(docs))
+    return coded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit("▁"), F.lit(" "))).alias("round_trip"),
+    )
