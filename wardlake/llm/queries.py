@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import chat_format, fingerprints, packing, secret_scan, token_counts, token_files, topk, toxicity, unigram_codec
+from wardlake.llm import chat_format, fingerprints, jaccard_join, packing, secret_scan, token_counts, token_files, topk, toxicity, unigram_codec
 from wardlake.plans.catalog import query
 from wardlake.sources.tables import table
 
@@ -85,3 +85,9 @@ def op10_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit("▁"), F.lit(" "))).alias("round_trip"),
     )
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = jaccard_join.Rule(words=3, num=90, den=100)
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id")
