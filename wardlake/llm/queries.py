@@ -80,7 +80,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_unigram_codec")
 def op10_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = unigram_codec.with_text(unigram_codec.with_ids(docs))
+    coded = unigram_codec.round_trip(docs)
     return coded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit("▁"), F.lit(" "))).alias("round_trip"),

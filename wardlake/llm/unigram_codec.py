@@ -83,9 +83,9 @@ class DoubleArray:
 
 
 class Codec:
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, trie: DoubleArray | None = None) -> None:
         self.vocabulary = v = unigram.load(path)
-        self.trie = DoubleArray.build({p.encode(): i for p, (i, _) in v.pieces.items()})
+        self.trie = trie or trie_of(path)
         self.score = np.full(v.size, -np.inf)
         text = [b""] * v.size
         for piece, (i, score) in v.pieces.items():
@@ -187,19 +187,54 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def codec(path: str | None = None) -> Codec:
-    """One trie and dictionary for each Python worker."""
-    return Codec(path)
+def trie_of(path: str | None = None) -> DoubleArray:
+    """The vocabulary's trie; it is built once, on the driver, and handed to the tasks (a few megabytes)."""
+    return DoubleArray.build({p.encode(): i for p, (i, _) in unigram.load(path).pieces.items()})
+
+
+_CODECS: dict[str | None, Codec] = {}
+
+
+def codec(path: str | None = None, trie: DoubleArray | None = None) -> Codec:
+    """One codec and dictionary for each Python worker and vocabulary."""
+    if path not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path] = Codec(path, trie)
+    return _CODECS[path]
+
+
+def _texts(c: Codec, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+    data, at = c.decoded(ids, starts)
+    return [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """Adds the ids of every text and the text that they decode to, in one pass."""
+    added = [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())]
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in (ids, decoded)] + added)
+    trie = docs.sparkSession.sparkContext.broadcast(trie_of(path))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, trie.value)
+        for batch in batches:
+            for i, j, found, starts in c.encoded(batch.column(text)):
+                part = batch.slice(i, j - i)
+                columns = {n: part.column(k) for k, n in enumerate(part.schema.names) if n not in (ids, decoded)}
+                columns[ids] = pa.array([found[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns | {decoded: pa.array(_texts(c, found, starts), pa.string())})
+
+    return docs.mapInArrow(work, schema)
 
 
 def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """Adds the ids of every text as little-endian integers of 32 bits."""
     schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.BinaryType())])
+    trie = docs.sparkSession.sparkContext.broadcast(trie_of(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[bytes] = []
-            for i, j, ids, starts in codec(path).encoded(batch.column(text)):
+            for i, j, ids, starts in codec(path, trie.value).encoded(batch.column(text)):
                 rows += [ids[starts[k] : starts[k + 1]].astype("<u4").tobytes() for k in range(j - i)]
             columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != out}
             yield pa.RecordBatch.from_pydict(columns | {out: pa.array(rows, pa.binary())})
@@ -210,14 +245,14 @@ def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", path: str |
 def with_text(coded: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """Adds the text that ids stand for; null ids decode to the empty text."""
     schema = T.StructType([f for f in coded.schema.fields if f.name != out] + [T.StructField(out, T.StringType())])
+    trie = coded.sparkSession.sparkContext.broadcast(trie_of(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str] = []
             for raw in batch.column(ids):
                 row = np.frombuffer(raw.as_py() or b"", "<u4").astype(np.int64)
-                data, _ = codec(path).decoded(row, np.array([0, len(row)]))
-                texts.append(data.tobytes().decode("utf-8", "replace"))
+                texts += _texts(codec(path, trie.value), row, np.array([0, len(row)]))
             columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != out}
             yield pa.RecordBatch.from_pydict(columns | {out: pa.array(texts, pa.string())})
 
