@@ -11,7 +11,7 @@ becomes ``&amp;``, and the first character of every control string becomes an en
 text can end its turn and everything can be read back.
 
 Defined results: null texts and roles are empty; null scores count as 0; a node whose parent is not
-in its tree is a root; nodes on a cycle have no leaf below them and are left out; turns that share a
+in its tree is a root; a cycle without a leaf below it is left out, and a path that runs into a cycle is an error; turns that share a
 number are ordered by role and text, and repeated rows are turns of their own; rows with a null
 conversation id form one conversation with a null id; an empty table gives an empty table;
 further columns are left out.
@@ -49,18 +49,21 @@ def paths(nodes: DataFrame) -> DataFrame:
     """
     nodes = kept(nodes.select("tree", "node", "parent"), "nodes")
     parents = nodes.select("tree", F.col("parent").alias("node")).where(F.col("node").isNotNull()).distinct()
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    links = kept(nodes.where(F.col("parent").isNotNull()).join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")), "links")
+    present = nodes.select("tree", F.col("node").alias("parent"))
+    links = kept(nodes.where(F.col("parent").isNotNull()).join(present, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")), "links")
     members = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
-    reach = 1
-    while not links.isEmpty():
+    reach, known, total = 1, members.count(), nodes.count()
+    while True:
         further = members.join(links, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + reach).alias("distance"))
         members = kept(members.unionByName(further), "paths")
+        found = members.count()
+        if found == known:
+            break
+        if reach > total:
+            raise ValueError("a path runs into a cycle of parent links")
         onward = links.select("tree", F.col("node").alias("up"), F.col("up").alias("_far"))
         links = kept(links.join(onward, ["tree", "up"]).select("tree", "node", F.col("_far").alias("up")), "links")
-        reach *= 2
-        if reach > 1 << 40:
-            raise ValueError("parent links form a cycle")
+        known, reach = found, 2 * reach
     return members
 
 

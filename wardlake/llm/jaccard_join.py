@@ -53,6 +53,11 @@ class Rule:
     num: int = 80
     den: int = 100
 
+    @property
+    def each(self) -> int:
+        """Shingles for each bucket count: unrelated sets stay well below the share that a link needs."""
+        return 16 if 100 * self.num >= 88 * self.den else 8
+
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n + (-self.num * n) // self.den + 1
 
@@ -91,9 +96,9 @@ def _class(items: np.ndarray) -> bytes:
     return (first ^ len(items)).to_bytes(8, "little") + second.to_bytes(8, "little")
 
 
-def _counts(items: np.ndarray) -> bytes:
-    """How many shingles fall into each of a power of two of buckets, about eight each, as bytes below 255."""
-    n = max(16, 1 << (len(items) // 8).bit_length() >> 1)
+def _counts(items: np.ndarray, each: int) -> bytes:
+    """How many shingles fall into each of a power of two of buckets, about ``each`` in one, as bytes below 255."""
+    n = max(16, 1 << (len(items) // each).bit_length() >> 1)
     while True:
         found = np.bincount((items >> np.uint64(32)).astype(np.int64) & (n - 1), minlength=n)
         if found.max(initial=0) < 255:
@@ -162,7 +167,7 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
                 for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
                     one, is_late = items[a:b], late[a:b]
                     classes.append(_class(one))
-                    counts.append(_counts(one))
+                    counts.append(_counts(one, rule.each))
                     p = int(rule.prefix(np.int64(b - a))) if b > a else 0
                     prefixes.append(np.concatenate([one[~is_late], one[is_late]])[:p].view(np.int64))
                 lengths = np.cumsum([0, *map(len, prefixes)])
@@ -262,7 +267,10 @@ def _bits(twins: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, items) of the wanted classes (class, twin, node): shingles are made again, for a text of each class only."""
+    """(region, size, node, items) of the wanted classes: shingles are made again, for a text of each class only.
+
+    wanted: class, twin, node, and the region with its size. Sets are shuffled once, by class.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select("twin")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +288,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"class": pa.array([_class(p) for p in parts], pa.binary()), "items": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     made = docs.select(F.xxhash64("text").alias("twin"), "text").mapInArrow(work, "class binary, items binary")
-    return made.join(wanted.select("class", "node"), "class").groupBy("node").agg(F.first("items").alias("items"))
+    return made.groupBy("class").agg(F.first("items").alias("items")).join(wanted, "class").select("region", "size", "node", "items")
 
 
 def _leaf_links(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -369,13 +377,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _region_links(members: DataFrame, rule: Rule) -> DataFrame:
-    """A spanning forest of all links between sets of one region: (region, node, items) rows."""
+    """A spanning forest of all links between sets of one region: (region, size, node, items) rows."""
     found: list[DataFrame] = []
     for depth in range(DEPTH + 1):
-        sized = members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
-        small = sized.where(F.col("size").between(2, LEAF)).withColumn("block", F.lit(0).cast("long"))
+        small = members.where(F.col("size").between(2, LEAF)).withColumn("block", F.lit(0).cast("long"))
         found.append(kept(_leaf_links(small, rule), "links"))
-        big = sized.where(F.col("size") > LEAF)
+        big = members.where(F.col("size") > LEAF)
         if big.isEmpty():
             break
         if depth == DEPTH:
@@ -385,12 +392,14 @@ def _region_links(members: DataFrame, rule: Rule) -> DataFrame:
         found.append(cells.where(F.col("pivot").isNotNull()).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         # A region is split only where that thins it out: few copies, and no cell that holds most of it.
         copies = cells.select("region", "node", F.explode("cells").alias("cell"))
-        worth = copies.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("copies"), F.max("n").alias("most"))
+        filled = kept(copies.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("n")), "filled")
+        worth = filled.groupBy("region").agg(F.sum("n").alias("copies"), F.max("n").alias("most"))
         judged = big.join(worth, "region").withColumn("split", (F.col("copies") <= 1.5 * F.col("size")) & (F.col("most") <= 0.7 * F.col("size")))
         judged = kept(judged.drop("copies", "most"), "judged")
         found.append(kept(_leaf_links(_blocks(judged.where(~F.col("split"))), rule), "links"))
-        onward = judged.where("split").join(copies, ["region", "node"]).select(F.xxhash64("region", "cell").alias("region"), "node", "items")
-        members = kept(onward, "regions")
+        placed = copies.join(filled, ["region", "cell"])
+        onward = judged.where("split").drop("size").join(placed, ["region", "node"])
+        members = kept(onward.select(F.xxhash64("region", "cell").alias("region"), F.col("n").alias("size"), "node", "items"), "regions")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -410,9 +419,9 @@ def join_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: s
     classes = kept(per_class.withColumn("node", F.monotonically_increasing_id()), "classes")
     forest = kept(_candidates(_members(classes), rule), "candidates")
     regions = components(forest)
-    inside = kept(regions.select("node", F.col("root").alias("region")).join(classes.select("node", "class", "twin"), "node"), "inside")
-    sets = _sets(docs, inside.select("class", "twin", "node"), rule)
-    members = kept(inside.select("region", "node").join(sets.select("node", "items"), "node"), "members")
+    inside = regions.select("node", F.col("root").alias("region")).join(regions.groupBy(F.col("root").alias("region")).agg(F.count(F.lit(1)).alias("size")), "region")
+    wanted = kept(inside.join(classes.select("node", "class", "twin"), "node"), "inside")
+    members = kept(_sets(docs, wanted, rule), "members")
     linked = components(_region_links(members, rule))
     named = classes.select("class", "node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
