@@ -43,6 +43,8 @@ SENSITIVE = {
 HARMLESS = {"name", "file", "path", "url", "uri", "length", "len", "count", "type", "id", "field", "label", "policy", "hint", "prompt", "limit", "max", "min"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change_me|example|placeholder|none|null|true|false|undefined|todo|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\).*)$")
 LEAST_SCORE = 4
+#: Rows of a batch that are rewritten at once, so that texts are not held several times.
+OUT_ROWS = 500
 
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer", re.ASCII)
@@ -183,7 +185,7 @@ def redact(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFr
     """Replaces every span in the texts; the length column follows where a text changed. Rows and columns stay."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, OUT_ROWS) for b in batches for i in range(0, b.num_rows, OUT_ROWS)):
             old = batch.column(text).to_pylist()
             new = [redacted(t) for t in old]
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}

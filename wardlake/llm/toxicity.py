@@ -32,6 +32,8 @@ from wardlake.llm.bytetext import LOWER, WORDY, bounds, run_keys, runs, text_sli
 SAMPLE_ROWS = 16_384
 FEATURES = 2_048
 THRESHOLD = 0.3
+#: Rows of a batch that a filter gives back at once, so that texts are not held twice.
+OUT_ROWS = 1_000
 
 #: Terms that name groups of people without judging them.
 IDENTITY_TERMS = (
@@ -210,3 +212,16 @@ def with_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.mapInArrow(work, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows whose score stays below the threshold, with their columns as they are."""
+    handed = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = pa.array(handed.value.scores(batch.column(text)) < threshold)
+            for i in range(0, batch.num_rows, OUT_ROWS):
+                yield batch.slice(i, OUT_ROWS).filter(clean.slice(i, OUT_ROWS))
+
+    return docs.mapInArrow(work, docs.schema)
