@@ -42,8 +42,7 @@ def test_policy_row_fold_equals_aggregate(spark, sf):
     rows = checks.groupBy("event_id", "use_case", "geography").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "check_name", "score", "verdict", "layer"))), lambda c: c).alias("checks")
     )
-    limits = policy.threshold_maps(spark, policy.default_rules(spark), list(inputs.CHECK_NAMES))
-    folded = rows.join(F.broadcast(limits), ["use_case", "geography"]).select(
+    folded = policy.with_thresholds(rows, policy.default_rules(spark), list(inputs.CHECK_NAMES)).select(
         "event_id", policy.decide_row(F.col("checks"), F.col("thresholds"), F.lit(None).cast("array<string>")).alias("d")
     ).select("event_id", "d.*")
     assert long.exceptAll(folded.select(*long.columns)).count() == 0

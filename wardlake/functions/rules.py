@@ -7,14 +7,17 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardlake import fixed
+
 Rule = tuple[str, float, str]
 
 UNICODE = "(?U)"
 UNICODE_NOCASE = "(?Ui)"
 
 
-# Literal parts that any match of a rule must contain: one of each group. A byte
-# search for them is far cheaper than the pattern and settles most texts.
+# Literal parts that any match of a built-in rule must contain: one of each group. A byte
+# search for them is far cheaper than the pattern and settles most texts. They hold for the
+# rule's own pattern only: another rule that reuses a name is searched for in full.
 REQUIRED: dict[str, tuple[tuple[str, ...], ...]] = {
     "command_chaining": ((";",),),
     "pipe_execution": (("|",),),
@@ -57,10 +60,24 @@ REQUIRED: dict[str, tuple[tuple[str, ...], ...]] = {
 }
 
 
-def possible(text: Column, name: str) -> Column:
+_BUILT_IN: dict[str, set[str]] = {}
+
+
+def built_in(table: Iterable[Rule]) -> None:
+    """Names rules to whose patterns the literal parts of their names belong."""
+    for name, _, pattern in table:
+        _BUILT_IN.setdefault(name, set()).add(pattern)
+
+
+for _table in (fixed.COMMAND_RULES, fixed.INJECTION_FAST_RULES, fixed.INJECTION_CONTEXT_RULES, fixed.HOSTILITY_RULES, fixed.EXFIL_RULES):
+    built_in(_table)
+
+
+def possible(text: Column, name: str, pattern: str | None = None) -> Column:
     """Whether a text has the literal parts a rule needs; patterns that ignore case need lower-case text."""
     met = F.lit(True)
-    for group in REQUIRED.get(name, ()):
+    own = pattern is None or pattern in _BUILT_IN.get(name, ())
+    for group in REQUIRED.get(name, ()) if own else ():
         met = met & contains_any(text, group)
     return met
 
@@ -83,7 +100,7 @@ def hits(text: Column, rules: Iterable[Rule], ignore_case: bool = True) -> Colum
         F.array(
             *[
                 F.when(
-                    possible(text, name) & matches(text, pattern, ignore_case),
+                    possible(text, name, pattern) & matches(text, pattern, ignore_case),
                     F.struct(F.lit(name).alias("rule"), F.lit(score).alias("score")),
                 )
                 for name, score, pattern in rules
@@ -98,7 +115,7 @@ def hits_any(texts: list[Column], rules: Iterable[Rule], ignore_case: bool = Tru
     for name, score, pattern in rules:
         found = F.lit(False)
         for text in texts:
-            found = found | F.coalesce(possible(text, name) & matches(text, pattern, ignore_case), F.lit(False))
+            found = found | F.coalesce(possible(text, name, pattern) & matches(text, pattern, ignore_case), F.lit(False))
         entries.append(F.when(found, F.struct(F.lit(name).alias("rule"), F.lit(score).alias("score"))))
     return F.array_compact(F.array(*entries))
 

@@ -17,15 +17,16 @@ def query_events(
     action: str | None = None,
     direction: str | None = None,
     since: str | None = None,
-    limit: int = 200,
+    limit: int | None = 200,
 ) -> DataFrame:
-    """Filtered audit rows, newest first; every filter is optional and ``all`` means none."""
+    """Filtered audit rows, newest first; every filter is optional and ``all`` means none. Without a limit all rows are kept."""
     for column, wanted in (("use_case", use_case), ("decision_action", action), ("direction", direction)):
         if wanted and wanted.lower() != "all":
             events = events.where(F.lower(column) == wanted.lower())
     if since:
         events = events.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
-    return events.orderBy(F.desc("created_at"), F.desc("event_id")).limit(min(limit, 1000))
+    newest = events.orderBy(F.desc("created_at"), F.desc("event_id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def interaction_events(events: DataFrame, interaction_id) -> DataFrame:

@@ -6,6 +6,7 @@ terms then become array literals and the scan stays one narrow projection.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,18 +66,23 @@ def _terms(terms: list[str]) -> Column:
 
 
 def _phrase_hit(scan: Column, phrase: str) -> Column:
-    bounded = rf"(?<!{text.WORD_CHAR})" + phrase + rf"(?!{text.WORD_CHAR})"
+    bounded = rf"(?<!{text.WORD_CHAR})" + re.escape(phrase) + rf"(?!{text.WORD_CHAR})"
     return scan.contains(phrase) & scan.rlike(bounded)
 
 
-def with_hits(df: DataFrame, scan: str = "scan_text", tiers: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """Add the distinct hits of each tier as arrays ``severe``, ``moderate``, ``mild``."""
+def with_hits(df: DataFrame, scan: str = "scan_text", tiers: Mapping[str, list[str]] | None = None, raw: str | None = None) -> DataFrame:
+    """Add the distinct hits of each tier as arrays ``severe``, ``moderate``, ``mild``.
+
+    Normal forms rewrite some punctuation, so terms that hold any are also looked for in the ``raw`` text.
+    """
+    seen = F.col(scan) if raw is None else F.concat_ws("\n", scan, F.lower(raw))
     tiers = tiers or default_tiers()
     df = df.withColumn("_tokens", F.array_distinct(text.words(F.col(scan))))
     columns = []
     for tier in TIERS:
-        single = [t for t in tiers[tier] if " " not in t]
-        phrases = [t for t in tiers[tier] if " " in t]
+        # A term that is not one word token (a phrase, or with punctuation inside) is looked for as written.
+        single = [t for t in tiers[tier] if re.fullmatch(r"\w+", t)]
+        phrases = [t for t in tiers[tier] if not re.fullmatch(r"\w+", t)]
         found = (
             F.array_intersect(F.col("_tokens"), _terms(single))
             if single
@@ -84,7 +90,7 @@ def with_hits(df: DataFrame, scan: str = "scan_text", tiers: Mapping[str, list[s
         )
         if phrases:
             found = F.concat(
-                found, F.array_compact(F.array(*[F.when(_phrase_hit(F.col(scan), p), F.lit(p)) for p in phrases]))
+                found, F.array_compact(F.array(*[F.when(_phrase_hit(F.col(scan) if re.fullmatch(r"[\w ]+", p) else seen, p), F.lit(p)) for p in phrases]))
             )
         columns.append(F.array_sort(found).alias(tier))
     return df.select(*[c for c in df.columns if c != "_tokens"], *columns)
@@ -105,7 +111,7 @@ def score(severe: Column, moderate: Column, mild: Column) -> Column:
 
 def scan(df: DataFrame, text_col: str = "text", tiers: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Add tier hits and ``lexicon_score`` to a table of texts."""
-    wide = with_hits(with_scan_text(text.with_variants(df, text_col)), tiers=tiers)
+    wide = with_hits(with_scan_text(text.with_variants(df, text_col)), tiers=tiers, raw=text_col)
     return wide.withColumn("lexicon_score", score(F.col("severe"), F.col("moderate"), F.col("mild"))).drop("scan_text")
 
 
@@ -113,12 +119,20 @@ def _runs_of(n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
 
 
-def scan_by_join(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "text", max_words: int = 4) -> DataFrame:
+def scan_by_join(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "text", max_words: int | None = None) -> DataFrame:
     """The same scan for a lexicon of any size: distinct word runs joined to the term table.
 
     Returns (id, term, tier). Runs are cut from lines split at anything but a
-    single space, so phrases match as written.
+    single space, so phrases match as written. Runs are as long as the longest phrase of the lexicon. Terms with
+    punctuation are few; they are looked for in the row.
     """
+    terms = lexicon.select("term", "tier").distinct()
+    plain = F.col("term").rlike(rf"^{text.WORD}(?: {text.WORD})*$")
+    odd = bounded_rows(terms.where(~plain))
+    if odd is None:
+        raise ValueError("too many lexicon terms with punctuation")
+    if max_words is None:
+        max_words = terms.where(plain).agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     wide = with_scan_text(text.with_variants(df.select(id_col, text_col), text_col))
     pieces = spread(
         wide, [id_col], F.regexp_extract_all("scan_text", F.lit(rf"{text.WORD}(?: {text.WORD})*"), F.lit(0)), "piece"
@@ -128,4 +142,22 @@ def scan_by_join(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str =
     for n in range(1, max_words + 1):
         grams = spread(tokens.where(F.size("w") >= n), [id_col], _runs_of(n), "term")
         runs = grams if runs is None else runs.unionByName(grams)
-    return runs.distinct().join(lexicon.select("term", "tier").distinct(), "term").select(id_col, "term", "tier")
+    found = runs.distinct().join(terms, "term").select(id_col, "term", "tier")
+    if odd:
+        seen = F.concat_ws("\n", "scan_text", F.lower(text_col))
+        struct = [F.when(_phrase_hit(seen, r["term"]), F.struct(F.lit(r["term"]).alias("term"), F.lit(r["tier"]).alias("tier"))) for r in odd]
+        found = found.unionByName(wide.select(id_col, F.inline(F.array_compact(F.array(*struct)))))
+    return found
+
+
+def _labelled(tier: str) -> Column:
+    return F.transform(tier, lambda t: F.struct(t.alias("term"), F.lit(tier).alias("tier")))
+
+
+def scan_table(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """Hits (id, term, tier) of a lexicon table of any size: in the row within the size limit, else by joins."""
+    if bounded_rows(lexicon.select("term", "tier").distinct()) is None:
+        return scan_by_join(df, lexicon, id_col, text_col)
+    wide = with_hits(with_scan_text(text.with_variants(df, text_col)), tiers=load_tiers(lexicon), raw=text_col)
+    hits = F.concat(*[_labelled(tier) for tier in TIERS])
+    return wide.select(id_col, F.inline(hits))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake import fixed
+from wardlake.functions.ordered import running_sum
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -63,17 +64,14 @@ def sweep(df: DataFrame, score: str = "score", label: str = "label", thresholds:
     return with_measures(counts.select(rows.alias("r")).select("r.*"))
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label", digits: int = 4) -> DataFrame:
-    """Area under the ROC curve by rank sums; 1.0 when a class is missing.
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Area under the ROC curve by rank sums over the exact scores; 1.0 when a class is missing.
 
-    Scores are counted per distinct value first. Scores lie in [0, 1] and carry
-    ``digits`` decimals, so at most 10**digits + 1 rows reach the running count.
+    Scores are counted per distinct value first; running counts go by chunks of the score, so no task
+    meets all of them.
     """
-    per_score = df.groupBy(F.round(score, digits).alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
-    )
-    below = Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    wins = per_score.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    per_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    wins = running_sum(per_score, [], F.floor(F.col("s") * 4096), [F.col("s")], F.col("n"), "below", before=True)
     total = wins.agg(
         F.sum(F.col("p") * (F.col("below") + F.col("n") * 0.5)).alias("won"), F.sum("p").alias("pos"), F.sum("n").alias("neg")
     )

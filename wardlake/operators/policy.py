@@ -78,56 +78,57 @@ def resolve_keys(keys: DataFrame, rules_table: DataFrame, defaults: dict | None
     )
 
 
+#: Stands for a null key and for any value that no rule names: only wildcard rules and defaults hold for it.
 OTHER = "\u0000other"
+#: Largest number of key combinations that is resolved beforehand and broadcast.
+MAX_DOMAIN = 100_000
+KEYS = ("use_case", "geography", "check_name")
 
 
-def resolve(checks: DataFrame, rules_table: DataFrame, defaults: dict | None = None) -> DataFrame:
-    """Attach thresholds to check rows without moving them.
-
-    A value that no rule names resolves like any other such value, so the
-    lookup domain is the values in the rules plus one stand-in. With a rule
-    table within the size limit the domain is small and is broadcast; beyond
-    it the distinct keys of the checks are joined instead.
-    """
-    spark = checks.sparkSession
-    key_cols = ["use_case", "geography", "check_name"]
-    rows = bounded_rows(rules_table.select(*key_cols).distinct(), 1000)
+def _named(rules_table: DataFrame) -> dict[str, list[str]] | None:
+    """The values that rules name for each key, or None where they have too many combinations to be resolved beforehand."""
+    rows = bounded_rows(rules_table.select(*KEYS).distinct(), 1000)
     if rows is None:
-        return checks.join(resolve_keys(checks, rules_table, defaults), key_cols, "left")
-    cases = sorted({r["use_case"] for r in rows if r["use_case"] not in (None, "*")})
-    places = sorted({r["geography"] for r in rows if r["geography"] not in (None, "*")})
-    names = sorted({r["check_name"] for r in rows if r["check_name"] is not None} | set(fixed.CHECK_ALIASES))
-    if (len(cases) + 1) * (len(places) + 1) * (len(names) + 1) > 100_000:
-        return checks.join(resolve_keys(checks, rules_table, defaults), key_cols, "left")
-    domain = spark.createDataFrame(
-        list(product([*cases, OTHER], [*places, OTHER], [*names, OTHER])),
-        "use_case string, geography string, check_name string",
-    )
-    resolved = resolve_keys(domain, rules_table, defaults)
+        return None
+    named = {k: sorted({r[k] for r in rows if r[k] not in (None, "*")}) for k in KEYS}
+    named["check_name"] = sorted({*named["check_name"], *fixed.CHECK_ALIASES})
+    size = 1
+    for values in named.values():
+        size *= len(values) + 1
+    return named if size <= MAX_DOMAIN else None
 
-    def key(name: str, values: list[str]) -> Column:
-        return F.when(F.col(name).isin(*values), F.col(name)).otherwise(F.lit(OTHER)) if values else F.lit(OTHER)
 
-    lookup = resolved.select(
-        F.col("use_case").alias("_u"), F.col("geography").alias("_g"), F.col("check_name").alias("_c"),
-        "block_threshold", "flag_threshold", "on_timeout",
-    )
-    return (
-        checks.withColumn("_u", key("use_case", cases))
-        .withColumn("_g", key("geography", places))
-        .withColumn("_c", key("check_name", names))
-        .join(F.broadcast(lookup), ["_u", "_g", "_c"], "left")
-        .drop("_u", "_g", "_c")
-    )
+def _stand_in(name: str, values: list[str] | None) -> Column:
+    """The key as rules see it."""
+    if values is None:
+        return F.coalesce(F.col(name), F.lit(OTHER))
+    return F.when(F.col(name).isin(*values), F.col(name)).otherwise(F.lit(OTHER)) if values else F.lit(OTHER)
+
+
+def resolve(checks: DataFrame, rules_table: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """Attach thresholds to check rows.
+
+    Values that no rule names, and nulls, resolve alike: by wildcard rules, else by the defaults. With a rule table
+    within the size limit all combinations are resolved beforehand and broadcast, so no check moves; beyond it the
+    distinct keys of the checks are resolved and joined. Both give the same rows.
+    """
+    named = _named(rules_table)
+    keyed = checks.withColumns({f"_{k}": _stand_in(k, None if named is None else named[k]) for k in KEYS})
+    if named is None:
+        keys = keyed.select(*[F.col(f"_{k}").alias(k) for k in KEYS])
+    else:
+        keys = checks.sparkSession.createDataFrame(list(product(*[[*named[k], OTHER] for k in KEYS])), ", ".join(f"{k} string" for k in KEYS))
+    found = resolve_keys(keys, rules_table, defaults).withColumnsRenamed({k: f"_{k}" for k in KEYS})
+    return keyed.join(found if named is None else F.broadcast(found), [f"_{k}" for k in KEYS], "left").drop(*[f"_{k}" for k in KEYS])
 
 
 def with_verdict(checks: DataFrame) -> DataFrame:
-    """Re-assign verdicts by threshold; skipped checks stay skipped."""
+    """Re-assign verdicts by threshold; skipped checks stay skipped, and a missing threshold is the default one."""
     return checks.withColumn(
         "verdict",
         F.when(F.col("verdict") == "skipped", "skipped")
-        .when(F.col("score") >= F.col("block_threshold"), "fail")
-        .when(F.col("score") >= F.col("flag_threshold"), "warn")
+        .when(F.col("score") >= F.coalesce("block_threshold", F.lit(fixed.POLICY_DEFAULTS["block_threshold"])), "fail")
+        .when(F.col("score") >= F.coalesce("flag_threshold", F.lit(fixed.POLICY_DEFAULTS["flag_threshold"])), "warn")
         .otherwise("pass"),
     )
 
@@ -209,29 +210,30 @@ def decide(checks: DataFrame, keys: list[str], version: str = "default") -> Data
     return folded.select(*keys, _decision(F.col("stop"), F.col("warns"), F.col("top"), version).alias("d")).select(*keys, "d.*")
 
 
-def threshold_maps(spark: SparkSession, rules_table: DataFrame, check_names: list[str], defaults: dict | None = None) -> DataFrame:
-    """One row per (use_case, geography) of the closed domains with a map check → thresholds."""
-    domain = spark.createDataFrame(
-        list(product(fixed.USE_CASES, fixed.GEOGRAPHIES, check_names)), "use_case string, geography string, check_name string"
-    )
-    return (
-        resolve_keys(domain, rules_table, defaults)
-        .groupBy("use_case", "geography")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("check_name", F.struct("block_threshold", "flag_threshold", "on_timeout")))
-            ).alias("thresholds")
-        )
-    )
+def with_thresholds(requests: DataFrame, rules_table: DataFrame, check_names: list[str], defaults: dict | None = None) -> DataFrame:
+    """Add ``thresholds``, a map check → thresholds, to rows with use_case and geography; unnamed values and nulls as in ``resolve``."""
+    spark, pair = requests.sparkSession, ("use_case", "geography")
+    named = _named(rules_table)
+    keyed = requests.withColumns({f"_{k}": _stand_in(k, None if named is None else named[k]) for k in pair})
+    if named is None:
+        places = keyed.select(*[F.col(f"_{k}").alias(k) for k in pair]).distinct()
+    else:
+        places = spark.createDataFrame(list(product(*[[*named[k], OTHER] for k in pair])), "use_case string, geography string")
+    keys = places.withColumn("check_name", F.explode(F.array(*[F.lit(c) for c in check_names])))
+    entry = F.struct("check_name", F.struct("block_threshold", "flag_threshold", "on_timeout"))
+    maps = resolve_keys(keys, rules_table, defaults).groupBy(*pair).agg(F.map_from_entries(F.collect_list(entry)).alias("thresholds"))
+    maps = maps.withColumnsRenamed({k: f"_{k}" for k in pair})
+    return keyed.join(maps if named is None else F.broadcast(maps), [f"_{k}" for k in pair], "left").drop(*[f"_{k}" for k in pair])
 
 
 def decide_row(checks: Column, thresholds: Column, blocked_pii: Column, version: str = "default") -> Column:
     """The same decision for checks held as an array in their row: no shuffle at all."""
+    standard = F.struct(*[F.lit(fixed.POLICY_DEFAULTS[k]).alias(k) for k in ("block_threshold", "flag_threshold", "on_timeout")])
     judged = F.transform(
         checks,
         lambda c: F.struct(
             c["check_name"].alias("check_name"), c["score"].alias("score"), c["layer"].alias("layer"),
-            F.element_at(thresholds, c["check_name"]).alias("t"), c["verdict"].alias("given"),
+            F.coalesce(F.try_element_at(thresholds, c["check_name"]), standard).alias("t"), c["verdict"].alias("given"),
         ),
     )
     judged = F.transform(
@@ -298,12 +300,21 @@ def override(df: DataFrame, direction: str = "direction") -> DataFrame:
     )
 
 
+SEVERITY = ("allow", "flag", "escalate", "block")
+
+
 def combine(decisions: DataFrame, key: str = "interaction_id") -> DataFrame:
-    """Merge input and output decisions of each interaction into one row."""
+    """Merge input and output decisions of each interaction into one row.
+
+    Of several decisions of one direction the most severe counts, of equal ones the latest.
+    """
     pick = F.struct("action", "reason", "confidence", "policy_version")
+    severity = F.coalesce(*[F.when(F.col("action") == a, F.lit(i)) for i, a in enumerate(SEVERITY)], F.lit(-1))
+    late = [c for c in ("created_at", "event_id") if c in decisions.columns]
+    rank = F.struct(severity.alias("severity"), *late, "reason")
     pair = decisions.groupBy(key).agg(
-        F.max(F.when(F.col("direction") == "input", pick)).alias("i"),
-        F.max(F.when(F.col("direction") == "output", pick)).alias("o"),
+        F.max_by(pick, F.when(F.col("direction") == "input", rank)).alias("i"),
+        F.max_by(pick, F.when(F.col("direction") == "output", rank)).alias("o"),
     )
     blocked = F.coalesce(F.col("o.action") == "block", F.lit(False))
     in_flag = F.coalesce(F.col("i.action") == "flag", F.lit(False))
@@ -374,16 +385,13 @@ def extract_rules(df: DataFrame, text_col: str = "text", title: str | None = Non
             F.array_compact(
                 F.array(
                     F.lit("EXTERNAL_AI"),
-                    F.when(rules.contains_any(low, ("third party", "vendor")), F.lit("THIRD_PARTY")),
-                    F.when(rules.contains_any(low, ("public", "internet")), F.lit("PUBLIC_WEB")),
+                    *[F.when(rules.contains_any(low, words), F.lit(name)) for name, words in fixed.POLICY_DESTINATIONS],
                 )
             ),
         )
         .withColumn(
             "action",
-            F.when(rules.contains_any(low, ("redact", "mask")), "REDACT")
-            .when(rules.contains_any(low, ("escalate", "review", "human")), "ESCALATE")
-            .otherwise("BLOCK"),
+            F.coalesce(*[F.when(rules.contains_any(low, words), F.lit(name)) for name, words in fixed.POLICY_ACTIONS], F.lit("BLOCK")),
         )
         .withColumn("short_description", F.coalesce(F.col(title), short) if title else short)
         .where(F.length("_raw") > 0)

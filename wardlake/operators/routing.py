@@ -36,12 +36,19 @@ ENDPOINTS = (
      ("what is the weather in oslo right now", "will it rain in lima tomorrow", "how hot is it in cairo today",
       "current temperature and humidity in quito")),
 )
+# Our own words for these endpoints, from the descriptions and samples above.
+KEYWORDS = {
+    "general_query": ("question", "fact", "company", "science", "mathematics", "programming", "explain", "tell me", "how many", "what is", "who was", "function"),
+    "email_service": ("mail", "message", "compose", "draft", "recipient", "send", "write to"),
+    "leave_approval": ("leave", "vacation", "sick", "time off", "days off", "day off", "absent"),
+    "weather_service": ("weather", "temperature", "rain", "wind", "humidity", "hot", "cold", "city"),
+}
 INDEX = "endpoint string, kind string, ordinal int, text string"
 
 
 def default_endpoints(spark: SparkSession) -> DataFrame:
     rows = [
-        (i, eid, name, instructions, list(exemplars), list(fixed.ENDPOINT_KEYWORDS[eid]), f"/{eid}/complete", eid, 1.0, True)
+        (i, eid, name, instructions, list(exemplars), list(KEYWORDS[eid]), f"/{eid}/complete", eid, 1.0, True)
         for i, (eid, name, instructions, exemplars) in enumerate(ENDPOINTS)
     ]
     return spark.createDataFrame(
@@ -193,15 +200,11 @@ def resolve(df: DataFrame, endpoints: DataFrame, requested: str = "requested") -
     An explicit known endpoint wins, then an explicit model or URL, then the
     best active candidate, else the default model.
     """
-    rows = bounded_rows(endpoints.select("endpoint", "name", "target")) or []
-    known = F.create_map(
-        *[x for r in rows for x in (F.lit(r["endpoint"]), F.struct(F.lit(r["endpoint"]).alias("endpoint"), F.lit(r["target"]).alias("target")))]
-    )
     asked = F.when((F.col(requested) != "auto") & (F.col(requested) != ""), F.col(requested))
     custom = asked.isin(*MODELS) | asked.startswith("http://") | asked.startswith("https://")
     best = F.try_element_at(F.filter("ranking", lambda e: e["active"]), F.lit(1))
-    explicit = F.try_element_at(known, asked)
-    df = df.withColumn("_best", best).withColumn("_explicit", explicit).withColumn("_asked", asked)
+    known = endpoints.groupBy(F.col("endpoint").alias("_asked")).agg(F.min_by(F.struct("endpoint", "target"), "target").alias("_explicit"))
+    df = df.withColumn("_best", best).withColumn("_asked", asked).join(known, "_asked", "left")
     return (
         df.withColumn(
             "routed_endpoint",

@@ -20,6 +20,7 @@ SECRET_RULES = (
     ("assigned_secret", 0.85, r"(?i:token|secret|api_key|apikey|password|passwd)\s*[:=]\s*[\"'][A-Za-z0-9_\-+/=.]{16,}[\"']"),
     ("json_web_token", 1.0, r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*"),
 )
+rules.built_in(SECRET_RULES)
 
 TOKEN = r"[A-Za-z0-9_+/=-]+(?:\.[A-Za-z0-9_+/=-]+)*"
 MIN_TOKEN = 20

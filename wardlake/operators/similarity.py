@@ -2,7 +2,8 @@
 
 A corpus within the size limit is shipped to the tasks and the scan stays one
 narrow stage. A larger one is cut into blocks; queries meet each block in
-bounded groups and the partial top-k lists are merged. Both ways are exact.
+bounded groups and the partial top-k lists are merged. Both ways are exact, and
+equal similarities go to the smaller corpus id in its own type.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)
 
 
-def _best(queries: np.ndarray, corpus: np.ndarray, ids: list[str], k: int) -> list[list[dict]]:
+def _best(queries: np.ndarray, corpus: np.ndarray, ids: list, k: int) -> list[list[dict]]:
     out: list[list[dict]] = []
     k = min(k, len(ids))
     for lo in range(0, len(queries), 1024):
@@ -80,7 +81,8 @@ def with_matches(queries: DataFrame, id_col: str, text_col: str, corpus: DataFra
         found = top_k(queries.select(id_col, F.col(text_col).alias("text")), id_col, corpus, k)
         listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "match_id", "similarity"))).alias("_m"))
         matches = F.transform("_m", lambda m: F.struct(m["match_id"].alias("match_id"), m["similarity"].alias("similarity")))
-        return queries.join(listed.select(id_col, matches.alias(out)), id_col, "left")
+        joined = queries.join(listed.select(id_col, matches.alias(out)), id_col, "left")
+        return joined.withColumn(out, F.coalesce(out, F.array().cast(MATCHES)))
     if not rows:
         return queries.withColumn(out, F.array().cast(MATCHES))
     matrix = np.array([r["vector"] for r in rows], dtype=float)
@@ -133,6 +135,7 @@ def _blocked_top_k(queries: DataFrame, id_col: str, corpus: DataFrame, k: int) -
         "slice", F.explode(every_slice)
     )
     id_type = queries.schema[id_col].dataType.simpleString()
+    match_type = corpus.schema["corpus_id"].dataType.simpleString()
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -141,7 +144,7 @@ def _blocked_top_k(queries: DataFrame, id_col: str, corpus: DataFrame, k: int) -
         found = _best(
             _unit(np.stack(left["vector"].to_list())),
             _unit(np.stack(right["vector"].to_list())),
-            [str(x) for x in right["corpus_id"]],
+            list(right["corpus_id"]),
             k,
         )
         return pd.DataFrame(
@@ -152,13 +155,13 @@ def _blocked_top_k(queries: DataFrame, id_col: str, corpus: DataFrame, k: int) -
     partial = (
         q.groupBy("block", "slice")
         .cogroup(c.groupBy("block", "slice"))
-        .applyInPandas(rank, f"{id_col} {id_type}, match_id string, similarity double")
+        .applyInPandas(rank, f"{id_col} {id_type}, match_id {match_type}, similarity double")
     )
     by_query = Window.partitionBy(id_col).orderBy(F.desc("similarity"), "match_id")
     return (
         partial.withColumn("rank", F.row_number().over(by_query))
         .where(F.col("rank") <= k)
-        .select(id_col, "rank", "match_id", "similarity")
+        .select(id_col, "rank", F.col("match_id").cast("string").alias("match_id"), "similarity")
     )
 
 

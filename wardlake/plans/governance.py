@@ -53,8 +53,7 @@ def guard(requests: DataFrame, id_col: str, corpus: DataFrame | None = None, rul
     """Decisions for requests (id, text, use_case, geography, declared)."""
     spark = requests.sparkSession
     rules_table = rules_table if rules_table is not None else policy.default_rules(spark)
-    limits = policy.threshold_maps(spark, rules_table, list(CHECKS))
-    df = guard_checks(requests, id_col, corpus).join(F.broadcast(limits), ["use_case", "geography"], "left")
+    df = policy.with_thresholds(guard_checks(requests, id_col, corpus), rules_table, list(CHECKS))
     df = df.withColumn("_d", policy.decide_row(F.col("checks"), F.col("thresholds"), F.col("blocked_pii"), version))
     df = df.select(
         *requests.columns, "checks", "detected_pii", "blocked_pii", F.lit("input").alias("direction"),

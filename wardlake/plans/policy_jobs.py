@@ -235,8 +235,9 @@ def decision_override(spark: SparkSession, sf: str) -> DataFrame:
 
 
 COMBINED = f"""{DECIDED},
-    pairs AS (SELECT interaction_id, max(action) FILTER (direction = 'input') AS ia, max(reason) FILTER (direction = 'input') AS ir, max(confidence) FILTER (direction = 'input') AS ic,
-        max(action) FILTER (direction = 'output') AS oa, max(reason) FILTER (direction = 'output') AS ore, max(confidence) FILTER (direction = 'output') AS oc FROM decided GROUP BY interaction_id),
+    weighed AS (SELECT *, {{'s': list_position(['allow', 'flag', 'escalate', 'block'], action), 'c': created_at, 'e': event_id}} AS o FROM decided),
+    pairs AS (SELECT interaction_id, max_by(action, o) FILTER (direction = 'input') AS ia, max_by(reason, o) FILTER (direction = 'input') AS ir, max_by(confidence, o) FILTER (direction = 'input') AS ic,
+        max_by(action, o) FILTER (direction = 'output') AS oa, max_by(reason, o) FILTER (direction = 'output') AS ore, max_by(confidence, o) FILTER (direction = 'output') AS oc FROM weighed GROUP BY interaction_id),
     combined AS (SELECT interaction_id, ia, ir, CASE WHEN oa = 'block' THEN 'block' WHEN ia = 'flag' OR oa = 'flag' THEN 'flag' ELSE 'allow' END AS action,
         CASE WHEN oa = 'block' THEN ore WHEN ia = 'flag' THEN 'Warning flagged: ' || ir WHEN oa = 'flag' THEN 'Warning flagged: ' || ore ELSE 'All checks passed' END AS reason,
         CASE WHEN oa = 'block' THEN 'high' WHEN ia = 'flag' OR oa = 'flag' THEN 'medium' ELSE 'low' END AS tier,

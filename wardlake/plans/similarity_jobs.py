@@ -142,7 +142,7 @@ _INDEX = sql.values(
     + [(i * 100 + j + 1, i, "exemplar", s) for i, (_, _, _, samples) in enumerate(routing.ENDPOINTS) for j, s in enumerate(samples)],
     "id, position, kind, text",
 )
-_KEYWORDS = sql.values([(i, k) for i, (e, _, _, _) in enumerate(routing.ENDPOINTS) for k in fixed.ENDPOINT_KEYWORDS[e]], "position, keyword")
+_KEYWORDS = sql.values([(i, k) for i, (e, _, _, _) in enumerate(routing.ENDPOINTS) for k in routing.KEYWORDS[e]], "position, keyword")
 _INTENT = "CASE " + " ".join(
     f"WHEN endpoint = '{e}' AND {e} THEN 0.45" for e in fixed.INTENT_PHRASES
 ) + " WHEN endpoint = 'general_query' AND NOT (" + " OR ".join(fixed.INTENT_PHRASES) + ") THEN 0.35 ELSE 0 END"

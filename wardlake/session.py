@@ -31,11 +31,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one machine
+    may leave it unset, as tests do; elsewhere that is an error, because executors would
+    write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wardlake-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

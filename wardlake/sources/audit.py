@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def append(events: DataFrame, path: str) -> None:
-    """Append events, one folder per day; a repartition by day and a spread keeps files few and even."""
-    spread = F.pmod(F.xxhash64("interaction_id"), F.lit(8))
-    events.repartition("event_date", spread).write.mode("append").partitionBy("event_date").parquet(path)
+    """Append events, one folder per day; rows are rebalanced by day, and a large day is split by its size."""
+    events.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def read(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
