@@ -201,21 +201,25 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def best_overlap(texts: DataFrame, references: DataFrame, id_col: str, ref_col: str, size: int = SHINGLE) -> DataFrame:
-    """For each text the reference with the highest shingle Jaccard.
+    """For each text the reference with the highest shingle Jaccard, or none with score 0.
 
-    An equi join on the shingle: only pairs that share one are formed, and the
-    counts combine before the shuffle.
+    Shingles are 64-bit hashes. Those of the references are distinct keys that texts' shingles
+    meet first, so shingles that no reference has go no further; then only pairs that
+    share one are formed, and their counts combine before the shuffle.
     """
 
     def cut(df: DataFrame, key: str) -> DataFrame:
         cut_words = df.select(key, text.words(F.lower("text")).alias("w"))
-        return cut_words.select(key, shingles(F.col("w"), size).alias("s")).withColumn("n", F.size("s"))
+        hashed = F.array_distinct(F.transform(shingles(F.col("w"), size), lambda s: F.xxhash64(s)))
+        return cut_words.select(key, hashed.alias("s")).withColumn("n", F.size("s"))
 
     left, right = cut(texts, id_col), cut(references, ref_col)
     rows = spread(left, [id_col, F.col("n").alias("n_left")], "s", "shingle")
     refs = spread(right, [ref_col, F.col("n").alias("n_right")], "s", "shingle")
-    shared = rows.join(refs, "shingle").groupBy(id_col, ref_col, "n_left", "n_right").agg(F.count(F.lit(1)).alias("common"))
+    met = rows.join(refs.select("shingle").distinct(), "shingle", "left_semi")
+    shared = met.join(refs, "shingle").groupBy(id_col, ref_col, "n_left", "n_right").agg(F.count(F.lit(1)).alias("common"))
     scored = shared.withColumn("jaccard", F.col("common") / (F.col("n_left") + F.col("n_right") - F.col("common")))
-    return scored.groupBy(id_col).agg(
-        F.max_by(F.struct(ref_col, "jaccard", "common"), F.struct("jaccard", -F.col(ref_col))).alias("best")
-    ).select(id_col, "best.*")
+    best = scored.groupBy(id_col).agg(F.max_by(F.struct(ref_col, "jaccard", "common"), F.struct("jaccard", -F.col(ref_col))).alias("best"))
+    out = texts.select(id_col).join(best, id_col, "left")
+    zero = {"common": F.lit(0).cast("long"), "jaccard": F.lit(0.0)}
+    return out.select(id_col, f"best.{ref_col}", *[F.coalesce(f"best.{c}", v).alias(c) for c, v in zero.items()])

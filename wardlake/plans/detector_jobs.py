@@ -479,9 +479,10 @@ def _shingle_rows(source: str, id_col: str) -> str:
     "ngram_jaccard",
     f"""WITH ds AS (SELECT id AS doc_id, g, count(*) OVER (PARTITION BY id) AS n_left FROM {_shingle_rows('documents', 'doc_id')}),
     bs AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_right FROM {_shingle_rows('benchmark', 'item_id')}),
-    m AS (SELECT doc_id, item_id, n_left, n_right, count(*) AS common FROM ds JOIN bs USING (g) GROUP BY ALL)
-    SELECT doc_id, item_id, common, round(common / (n_left + n_right - common), 6) AS jaccard FROM m
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY common / (n_left + n_right - common) DESC, item_id) = 1""",
+    m AS (SELECT doc_id, item_id, n_left, n_right, count(*) AS common FROM ds JOIN bs USING (g) GROUP BY ALL),
+    best AS (SELECT doc_id, item_id, common, round(common / (n_left + n_right - common), 6) AS jaccard FROM m
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY common / (n_left + n_right - common) DESC, item_id) = 1)
+    SELECT doc_id, item_id, coalesce(common, 0) AS common, coalesce(jaccard, 0) AS jaccard FROM documents LEFT JOIN best USING (doc_id)""",
 )
 def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     best = leakage.best_overlap(inputs.documents(spark, sf), table(spark, sf, "benchmark"), "doc_id", "item_id")

@@ -63,6 +63,20 @@ def corpus_topk_text(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "rank", "match_id", "similarity")
 
 
+@query(
+    "corpus_vector_topk",
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    u AS (SELECT vec_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM x),
+    s AS (SELECT q.vec_id, c.vec_id AS cid, round(sum(q.v * c.v), 6) AS sim FROM u q JOIN u c USING (i) WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+    SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cid)::INTEGER AS rank, cid::VARCHAR AS match_id, sim AS similarity FROM s QUALIFY rank <= 5""",
+)
+def corpus_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """A stated query set (ids divisible by 100) against a corpus of all vectors, which grows with the table."""
+    vecs = table(spark, sf, "embeddings")
+    corpus_rows = vecs.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("vector"))
+    return similarity.top_k(vecs.where("vec_id % 100 = 0"), "vec_id", corpus_rows, 5, vector_col="embedding").select("vec_id", "rank", "match_id", "similarity")
+
+
 KINDS = ("prompt_injection", "toxicity", "api_key", "data_leak")
 
 
