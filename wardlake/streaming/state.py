@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,36 +12,47 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardlake.operators.analytics import blast_radius
 
-COSTS = {"irreversible_action": Decimal("0.50"), "reversible_write": Decimal("0.25"), "read_only": Decimal("0.05")}
-LIMITS = {"irreversible_action": (Decimal("0.70"), "escalate"), "reversible_write": (Decimal("0.60"), "allow"), "read_only": (None, "allow")}
+# In hundredths, so that sums are exact.
+COSTS = {"irreversible_action": 50, "reversible_write": 25, "read_only": 5}
+LIMITS = {"irreversible_action": 70, "reversible_write": 60, "read_only": 1 << 40}
+OTHERWISE = {"irreversible_action": "escalate", "reversible_write": "allow", "read_only": "allow"}
+FULL = 100
 RISK_OUT = "event_id long, session_id long, tool_name string, blast_radius string, risk_before double, guard_verdict string"
 
 
-def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    risk, request = (Decimal(state.get[0]), state.get[1]) if state.exists else (Decimal("0"), None)
+def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """Risk before each call: what earlier requests cost, at most one, and what this request has cost so far."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    carried, request = state.get if state.exists else (0, None)
     rows = pd.concat(list(batches)).sort_values(["request_id", "ts", "event_id"])
-    out = []
-    for row in rows.itertuples(index=False):
-        if row.request_id != request:
-            risk, request = min(Decimal("1"), risk), row.request_id
-        limit, otherwise = LIMITS[row.blast_radius]
-        verdict = "block" if limit is not None and risk > limit else otherwise
-        out.append((row.event_id, key[0], row.tool_name, row.blast_radius, float(risk), verdict))
-        risk += COSTS[row.blast_radius]
-    state.update((str(risk), int(request)))
-    yield pd.DataFrame(out, columns=["event_id", "session_id", "tool_name", "blast_radius", "risk_before", "guard_verdict"])
-
-
-def session_risk(calls: DataFrame) -> DataFrame:
+    cost = rows["blast_radius"].map(COSTS)
+    of_request = cost.groupby(rows["request_id"], sort=False)
+    spent = of_request.sum()
+    base = (carried + spent.cumsum() - spent).clip(upper=FULL)
+    if base.index[0] == request:
+        base.iloc[0] = carried  # the request goes on; only a new one begins with the capped sum
+    risk = rows["request_id"].map(base) + of_request.cumsum() - cost
+    over = risk > rows["blast_radius"].map(LIMITS)
+    state.update((int(risk.iloc[-1] + cost.iloc[-1]), int(rows["request_id"].iloc[-1])))
+    if keep_ms is not None:
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
+    out = rows[["event_id", "tool_name", "blast_radius"]].assign(session_id=key[0], risk_before=risk / 100, guard_verdict=rows["blast_radius"].map(OTHERWISE).mask(over, "block"))
+    yield out[["event_id", "session_id", "tool_name", "blast_radius", "risk_before", "guard_verdict"]]
+
+
+def session_risk(calls: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """Tool verdicts with the session's risk carried across batches.
 
-    State per session is one number and the last request. Rows of a session in
-    a batch are those that arrived since the last trigger; the trigger's input
-    limit bounds them.
+    State per session is one number and the last request. Rows of a session in a batch are those that arrived since
+    the last trigger; the trigger's input limit bounds them. With ``keep_ms``, calls carry a watermark on ``ts``, and a
+    session is forgotten so long after its last call; calls later than the watermark are then dropped.
     """
     judged = calls.withColumn("blast_radius", blast_radius(F.col("tool_name")))
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.EventTimeTimeout
     return judged.groupBy("session_id").applyInPandasWithState(
-        _judge, RISK_OUT, "risk string, request long", "append", GroupStateTimeout.NoTimeout
+        partial(_judge, keep_ms=keep_ms), RISK_OUT, "risk long, request long", "append", timeout
     )
 
 
