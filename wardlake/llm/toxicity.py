@@ -6,7 +6,7 @@ the log-odds is added to the loss. The weights of identity terms are so drawn to
 to zero: a neutral mention of a group does not raise a score, whatever the labels say.
 
 The fit uses at most ``sample_rows`` labelled rows, those with the smallest hash of their
-id, and happens on the driver over the distinct word keys of these rows. Scoring runs
+id. Words are counted by Spark, and the driver gets only the chosen words' presence in these rows. Scoring runs
 over all rows and whole texts. Words are runs of ASCII letters and digits and of all other
 characters' bytes, with A-Z in lower case.
 
@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlake.llm.bytetext import LOWER, WORDY, bounds, run_keys, runs, text_slices
+from wardlake.llm.bytetext import LOWER, WORDY, run_keys, runs, text_slices
+from wardlake.llm.tables import kept
 
 SAMPLE_ROWS = 16_384
 FEATURES = 2_048
@@ -83,25 +84,51 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -700, 700))) if np.isfinite(self.bias) else np.zeros(len(column))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, allowed: Column, sample_rows: int, text: str) -> list:
-    """Distinct word keys of the labelled rows, a row for each Arrow batch."""
+def _sample(docs: DataFrame, labels: DataFrame, allowed: Column, sample_rows: int, text: str) -> DataFrame:
+    """(toxic, text) of the labelled rows that the fit uses."""
     chosen = (
         labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+
+
+def _counts(sample: DataFrame) -> DataFrame:
+    """(word, texts, toxic) of every word key: in how many texts it stands. The null word stands in every text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int8)
+            label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield _rows([None], [len(label)], [int(label.sum())])
             for i, j, keys, owner in _word_keys(batch.column("text")):
                 keys, owner = _distinct(keys, owner)
-                sizes = np.diff(bounds(owner, j - i)).astype(np.int32)
-                row = {"toxic": [toxic[i:j].tobytes()], "sizes": [sizes.tobytes()], "keys": [keys.tobytes()]}
+                words, code = np.unique(keys, return_inverse=True)
+                toxic = np.bincount(code, label[i:j][owner], len(words)).astype(np.int64)
+                yield _rows(words.view(np.int64), np.bincount(code, minlength=len(words)), toxic)
+
+    def _rows(word, texts, toxic) -> pa.RecordBatch:  # noqa: ANN001
+        return pa.RecordBatch.from_pydict({"word": pa.array(word, pa.int64()), "texts": pa.array(texts, pa.int64()), "toxic": pa.array(toxic, pa.int64())})
+
+    return sample.mapInArrow(work, "word long, texts long, toxic long").groupBy("word").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+
+
+def _hits(sample: DataFrame, words: np.ndarray) -> list:
+    """Which of the chosen words stand in each text: labels, sizes and word numbers, a row for each slice of texts."""
+    handed = sample.sparkSession.sparkContext.broadcast(words)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int8)
+            for i, j, keys, owner in _word_keys(batch.column("text")):
+                at = np.minimum(np.searchsorted(handed.value, keys), len(handed.value) - 1)
+                hit = handed.value[at] == keys
+                pair = np.unique(owner[hit] * np.int64(len(handed.value)) + at[hit])
+                sizes = np.bincount(pair // len(handed.value), minlength=j - i).astype(np.int32)
+                row = {"toxic": [label[i:j].tobytes()], "sizes": [sizes.tobytes()], "words": [(pair % len(handed.value)).astype(np.int32).tobytes()]}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary()) for k, v in row.items()})
 
-    return rows.mapInArrow(work, "toxic binary, sizes binary, keys binary").collect()
+    return sample.mapInArrow(work, "toxic binary, sizes binary, words binary").collect()
 
 
 def fit(
@@ -111,36 +138,27 @@ def fit(
     """Fits the model to labelled rows.
 
     docs has doc_id and the text, labels has doc_id and toxic (0 or 1; a repeated id counts once, as its
-    largest label). ``allowed`` keeps labels of which the fit may know. The driver gets the word keys of at most
-    ``sample_rows`` texts.
+    largest label). ``allowed`` keeps labels of which the fit may know. Words are counted over the sample by Spark; the
+    driver gets the words that tell labels apart best, and which of them stand in each sampled text.
     """
-    got = _sample(docs, labels, F.lit(True) if allowed is None else allowed, sample_rows, text)
-    y = np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in got] or [np.zeros(0, np.int8)]).astype(float)
-    if len(y) == 0 or y.min() == y.max():
+    sample = _sample(docs, labels, F.lit(True) if allowed is None else allowed, sample_rows, text)
+    counts = kept(_counts(sample), "word-counts")
+    every = counts.where("word IS NULL").first()
+    if every is None or every["toxic"] in (0, every["texts"]):
         return Model()
-    sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in got])
-    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])
-    row = np.repeat(np.arange(len(y)), sizes)
-    # Batches come in no fixed order: rows are put into an order of their own, so that a fit repeats exactly.
-    vocabulary, code = np.unique(keys, return_inverse=True)
-    with_toxic = np.bincount(code, y[row], len(vocabulary))
-    count = np.bincount(code, minlength=len(vocabulary)).astype(float)
-    n, share = len(y), y.mean()
-    gain = (with_toxic - count * share) ** 2 / np.maximum(count * share * (1 - share), 1e-9)
-    gain[count < 3] = 0
-    identity = np.isin(vocabulary, _keys_of(IDENTITY_TERMS))
-    keep = np.argsort(-gain, kind="stable")[:features]
-    chosen = np.sort(np.union1d(keep[gain[keep] > 6], np.flatnonzero(identity)))
-    if not len(chosen):
-        return Model(bias=float(np.log(share / (1 - share))))
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    hit = place[code] >= 0
-    x_row, x_col = row[hit], place[code[hit]]
-    k = len(chosen)
+    share = every["toxic"] / every["texts"]
+    gain = F.pow(F.col("toxic") - F.col("texts") * share, 2) / (F.col("texts") * share * (1 - share))
+    best = counts.where("word IS NOT NULL AND texts >= 3").withColumn("gain", gain).where("gain > 6").orderBy(F.desc("gain"), "word").limit(features)
+    identity = np.unique(_keys_of(IDENTITY_TERMS))
+    chosen = np.union1d(np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64), identity)
+    got = _hits(sample, chosen)
+    y = np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in got]).astype(float)
+    x_row = np.repeat(np.arange(len(y)), np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in got]))
+    x_col = np.concatenate([np.frombuffer(r["words"], np.int32) for r in got])
+    n, k = len(y), len(chosen)
 
     # A swap of term a for b in a text that holds a: the change is w_b - w_a. Only the number of such texts matters.
-    terms = place[np.flatnonzero(identity)]
+    terms = np.searchsorted(chosen, identity)
     mentions = np.bincount(x_col, minlength=k)[terms].astype(float)
     pull = np.zeros((len(terms), len(terms)))
     if len(terms) > 1:
@@ -195,7 +213,7 @@ def fit(
         if now - after < 1e-6 * max(1, abs(now)):
             break
         now = after
-    return Model(vocabulary[chosen], w, b)
+    return Model(chosen, w, b)
 
 
 def with_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
