@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from wardlake.llm import chat_format, fingerprints, jaccard_join, packing, secret_scan, segments, token_counts, token_files, topk, toxicity, unigram, unigram_codec
+from wardlake.llm import bytebpe, chat_format, fingerprints, jaccard_join, packing, secret_scan, segments, token_counts, token_files, topk, toxicity, unigram, unigram_codec
 from wardlake.llm.components import components
 from wardlake.llm.tables import order_chunk
 
@@ -144,6 +144,18 @@ def test_token_files(docs, nothing):
     assert token_files.read(token_files.write(nothing)).count() == 0
 
 
+def test_blank_lines():
+    spaces = ["\n\n", "\n\n\n", "\n\n\n\n", " \n\n", "\t\n\n", "\t\t", "\r\n", "\r\n\r\n", "\n \n", "\n\n ", "\n  ", "\u3000\n\n", "\xa0\n", "\x0b\x0c"]
+    after = ["b", "7", "-", "'s", "é", "Ж", "日本", "\u0301", "😀", "\x00", " b", "", "<|endoftext|>"]
+    texts = [a + s + b for a in ("a", "", "é", "7.", "日", "\n") for s in spaces for b in after]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice([*spaces, *after, " ", "\n", "a"]) for _ in range(12)) for _ in range(3000)]
+    for part in ([t for t in texts if "<|" not in t], texts):
+        for i, j, ids, offsets in bytebpe.encoded(pa.array(part)):
+            for k in range(i, j):
+                assert ids[offsets[k - i] : offsets[k - i + 1]].tolist() == ids_of(part[k])[:-1], repr(part[k])
+
+
 def test_dictionary_forgets(monkeypatch):
     monkeypatch.setattr(segments, "REMEMBERED", 50)
     from wardlake.llm.bytebpe import Encoder, vocabulary_path

@@ -4,7 +4,7 @@ The library's own model merges the bytes; the split into words before that is do
 because the library's split costs several times as much as the merges. A text is cut
 where the split pattern always breaks and looks no further: before a blank with a character
 other than white space on one side of it, and between ASCII letters, punctuation and line
-breaks. The special tokens of the vocabulary are cut out first, as the library does by default.
+breaks; the last white space before another character is a segment of its own, as in the pattern. The special tokens of the vocabulary are cut out first, as the library does by default.
 """
 
 from __future__ import annotations
@@ -54,8 +54,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     here, past = kind[1:], kind[:-1]
     more = ((here == _MARK) | (here == _BREAK)) & (past == _WORD) | (here == _BREAK) & (past == _MARK)
     more |= (here == _WORD) & (past == _MARK) & (data[:-1] != 0x27)
-    more |= (here > 0) & (here != _BREAK) & (past == _BREAK)
-    return np.union1d(np.flatnonzero(more) + 1, blank_cuts(data, offsets))
+    last = (here > 0) & (here != _BREAK) & (past == _BREAK)
+    # The pattern gives the last break of a run as a word of its own, unless the text ends with it.
+    alone = np.flatnonzero(last & ~text_starts(data, offsets)[1:])
+    return np.unique(np.concatenate([np.flatnonzero(more | last) + 1, alone, blank_cuts(data, offsets)]))
 
 
 class Encoder:
