@@ -299,6 +299,21 @@ def test_secret_constants():
     assert secret_scan.scan("the secret: nothing is as it seems, a token of love")[1] == secret_scan.base_spans("the secret: nothing is as it seems, a token of love")
 
 
+def test_secret_of_many_literals_and_long_names():
+    parts = [f"Zx{i}-kQ{i:02d}p" for i in range(40)]
+    chain = "".join(f'p{i} = {f"p{i - 1} + " if i else ""}"{v}"\n' for i, v in enumerate(parts))
+    name = "generated_" * 12 + "password"
+    for code in (chain + "password = p39\n", "all = " + " + ".join(f'"{v}"' for v in parts) + "\npassword = all\n", chain + f"{name} = p39\n", chain + f'"{name}": p39 + "tail"\n'):
+        found = {code[s:e] for s, k, e in secret_scan.scan(code)[1] if k == 3}
+        assert found - {"tail"} == set(parts) and not any(v in secret_scan.redacted(code) for v in parts)
+    text = f'{name} = "9f-AAbb22kd" 1x.y-{name}:"7c-DDee55mn"'
+    assert {text[s:e] for s, k, e in secret_scan.scan(text)[1] if k == 3} == {"9f-AAbb22kd", "7c-DDee55mn"}
+    double = 'a0 = "Zx81-k"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(3000)) + "password = a3000\n"
+    assert [double[s:e] for s, k, e in secret_scan.scan(double)[1] if k == 3] == ["Zx81-k"]
+    long = "secret " + "a." * 200_000 + ' x = "b"'
+    assert not [x for x in secret_scan.scan(long)[1] if x[1] == 3]
+
+
 # --- unigram counts and codec
 
 

@@ -3,7 +3,7 @@
 Source and configuration text is lexed into name-literal pairs (``name = "value"``,
 ``name: value``, ``"name": "value"``, ``name := value``, ``name => value``), constants are
 propagated (a literal that is first stored under a plain name and then assigned, also as
-part of a concatenation, to a sensitive one), and every literal is scored by the sensitive
+part of a concatenation, to a sensitive one; of any number of literals, under names of any length), and every literal is scored by the sensitive
 names it reaches. Three plain patterns (assignments, access keys, long hex runs) are
 reported always; the method adds spans of kind ``literal``.
 
@@ -19,7 +19,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,12 +45,18 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|change_me|example|plac
 LEAST_SCORE = 4
 #: Rows of a batch that are rewritten at once, so that texts are not held several times.
 OUT_ROWS = 500
+#: Characters kept of either end of a value; longer than every word of PLACEHOLDER.
+ENDS = 16
 
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer", re.ASCII)
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'" + r"|`(?:[^`\\\n]|\\.)*`"
 _TERM = re.compile(_QUOTED + r"|[A-Za-z_$][A-Za-z0-9_$.]*|[^\s,;()\[\]{}\"'`+]+")
-_PAIR = re.compile(r"""(?<![A-Za-z0-9_$])(["']?)([A-Za-z_$][A-Za-z0-9_$.-]{0,79})\1[ \t]*(?::=|=>|=(?!=)|:(?![/:]))[ \t]*""")
+_RUN = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
+# A name is taken from the first place in its run of name characters where it can begin, so that each run is read once.
+_PAIR = re.compile(
+    rf"""(?:(?<![A-Za-z0-9_$])(["'])({_RUN})\1|(?<![A-Za-z0-9_$.-])(?:[.-]|[0-9][A-Za-z0-9_$]*+)*+({_RUN}))[ \t]*(?::=|=>|=(?!=)|:(?![/:]))[ \t]*"""
+)
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
 
 
@@ -74,14 +80,40 @@ def name_weight(name: str) -> int:
     return max((SENSITIVE.get(w, 0) for w in [*parts, *joined]), default=0)
 
 
+class Value:
+    """A literal or a concatenation: its places, the values it is made of, and what its score needs of the whole text.
+
+    The text itself may double with each assignment, so only its length, its characters' counts and its ends are kept.
+    """
+
+    __slots__ = ("counts", "head", "of", "size", "spans", "tail")
+
+    def __init__(self, text: str = "", spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.size, self.counts, self.head, self.tail = len(text), Counter(text), text[:ENDS], text[-ENDS:]
+        self.spans, self.of = list(spans), []
+
+    def add(self, other: Value) -> None:
+        self.size += other.size
+        self.counts.update(other.counts)
+        self.head, self.tail = (self.head + other.head)[:ENDS], (self.tail + other.tail)[-ENDS:]
+        self.of.append(other)
+
+    def weight(self) -> int:
+        """How much the text looks like a key rather than a word: length, character classes and entropy."""
+        n, counts = self.size, self.counts
+        # A longer text matches a placeholder by its ends and the characters it has.
+        sample = self.head if n <= ENDS else self.head + "".join(counts) + self.tail
+        if n < 6 or any(c.isspace() for c in counts) or PLACEHOLDER.match(sample):
+            return -9
+        shares = [c / n for c in counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p)
+        classes = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return (classes >= 2) + (classes >= 3) + (n >= 16) + (entropy >= 3)
+
+
 def value_weight(value: str) -> int:
-    """How much a literal looks like a key rather than a word: length, character classes and entropy."""
-    if len(value) < 6 or any(c.isspace() for c in value) or PLACEHOLDER.match(value):
-        return -9
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return (classes >= 2) + (classes >= 3) + (n >= 16) + (entropy >= 3)
+    """How much a literal looks like a key rather than a word."""
+    return Value(value).weight()
 
 
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
@@ -104,7 +136,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
                 break
             here = plus.end()
         if terms:
-            yield m.group(2), terms
+            yield m.group(2) or m.group(3), terms
         at = here if terms and terms[-1][0] == "text" else max(m.end(), at + 1)
 
 
@@ -112,21 +144,26 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
     if not _HINT.search(text) or not (":" in text or "=" in text):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    found = set()
+    constants: dict[str, Value] = {}
+    found: set[tuple[int, int, int]] = set()
+    told: dict[int, Value] = {}  # holds the values, so that no number is given again
     for name, terms in pairs(text):
-        parts: list[tuple[str, int, int]] = []
+        whole = Value()
         for kind, value, start, end in terms:
-            if kind == "text":
-                parts.append((value, start, end))
-            elif value in constants:
-                parts += constants[value][:16]
-            elif len(terms) == 1:
-                parts.append((value, start, end))  # an unquoted value of a configuration line
-        constants[name] = parts
+            if kind == "name" and value in constants:
+                whole.add(constants[value])
+            elif kind == "text" or len(terms) == 1:  # also an unquoted value of a configuration line
+                whole.add(Value(value, [(start, end)]))
+        constants[name] = whole
         weight = name_weight(name)
-        if weight and parts and weight + value_weight("".join(p[0] for p in parts)) >= LEAST_SCORE:
-            found.update((s, 3, e) for _, s, e in parts if e > s)
+        if weight and weight + whole.weight() >= LEAST_SCORE:
+            reached = [whole]
+            while reached:  # every value is visited once in a text
+                v = reached.pop()
+                if id(v) not in told:
+                    told[id(v)] = v
+                    found.update((s, 3, e) for s, e in v.spans if e > s)
+                    reached += v.of
     return sorted(found)
 
 
