@@ -75,6 +75,15 @@ def test_fingerprint_likeness(spark):
     assert got[4]["fingerprint"] == got[4]["b_fingerprint"]
 
 
+def test_near_copies_of_one_line_are_alike(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    texts = [" ".join(words), "。".join("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(12)) for _ in range(6)), "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(90)), "Short one. Then two! " * 2 + "Three is here? Four."]
+    rows = spark.createDataFrame([(i, t, t[:-3] + "zzz") for i, t in enumerate(texts)], "k int, a string, b string")
+    got = {r["k"]: r["near_b"] for r in fingerprints.compared(rows, "a", {"b": "b"}).collect()}
+    assert all(0.4 < got[i] < 1 for i in range(len(texts))), got
+
+
 def test_fingerprint_order(docs, nothing):
     got = fingerprints.with_next(docs).collect()
     order = sorted(((i, t or "") for i, t in TEXTS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)

@@ -1,6 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text's paragraphs are its lines; a long line is cut at sentence ends. Each distinct
+A text's paragraphs are its lines, cut at sentence ends and after every word whose hash
+meets a condition (one word in eight, in scripts without blanks one character in eight), so
+that a text of one line has several and an edit changes only those around it. Each distinct
 paragraph has a 64-bit digest, and the digest goes into one cell of each of three rows of
 cells; a cell keeps how many digests it holds, their exclusive or, and the exclusive or of
 their check values. Subtracting the sketches of two versions leaves the digests that
@@ -32,9 +34,15 @@ CELLS = ROWS * WIDTH
 ROUNDS = 12
 PARTS = 4
 RETRIES = 6
-#: A paragraph: from this many characters on a line is cut at the end of a sentence.
-LONG_LINE = 120
-PARAGRAPH = rf"[^\n]{{{LONG_LINE},}}?[.!?](?=\s|$)|[^\n]+"
+#: A part that is thought to have more differing digests than this is split further before it is tried.
+HOPELESS = CELLS + 4
+#: Scripts that are written without blanks: each character counts as a word.
+SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD_END = rf"(?<=[\s{SCRIPTS}])"
+#: A paragraph ends after a word whose hash has all of these bits,
+CUT_BITS = 7
+#: and at line breaks and sentence ends.
+PARAGRAPH_END = r"\n|(?<=[.!?…؟۔।॥]\s)|(?<=[.!?…؟۔।॥][\"'”’»)]\s)|(?<=[。！？｡])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,30 +52,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(found, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(F.trim(p))))
+    words = F.split(F.coalesce(text, F.lit("")), WORD_END)
+    ended = F.transform(words, lambda w: F.when(F.xxhash64(w).bitwiseAND(F.lit(CUT_BITS).cast("long")) == CUT_BITS, F.concat(w, F.lit("\n"))).otherwise(w))
+    found = F.transform(F.split(F.array_join(ended, ""), PARAGRAPH_END), lambda p: F.trim(p))
+    return F.array_distinct(F.transform(F.filter(found, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def check_of(digest: Column) -> Column:
     return F.hash(digest).cast("long")
 
 
-def column_of(digest: Column, row: Column) -> Column:
-    """The cell of a digest within a row: three bits of it for each row."""
-    return F.call_function("shiftrightunsigned", digest, row * 3).bitwiseAND(F.lit(WIDTH - 1).cast("long"))
+def places() -> Column:
+    """For each cell, the bits of a digest that choose it within its row (three for each row), and their value there."""
+    bits = [(row * 3, col) for row in range(ROWS) for col in range(WIDTH)]
+    return F.array(*[F.struct(F.lit((WIDTH - 1) << at).cast("long").alias("mask"), F.lit(col << at).cast("long").alias("is")) for at, col in bits])
+
+
+def within(digest: Column, place: Column) -> Column:
+    return digest.bitwiseAND(place["mask"]) == place["is"]
 
 
 def sketch(items: Column) -> Column:
     """The cells of a set of digests: how many, their exclusive or, and that of their checks."""
 
-    def cell(j: Column) -> Column:
-        row, col = F.floor(j / WIDTH).cast("int"), j % WIDTH
-        here = F.filter(items, lambda d: column_of(d, row) == col)
+    def cell(here: Column) -> Column:
         key = F.aggregate(here, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
         check = F.aggregate(here, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(check_of(d)))
         return F.struct(F.size(here).alias("n"), key.alias("k"), check.alias("h"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+    return F.transform(F.transform(places(), lambda c: F.filter(items, lambda d: within(d, c))), cell)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -82,13 +95,11 @@ def peel(cells: Column) -> Column:
         pure = F.array_distinct(F.transform(single, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
 
         def rid(found: Column) -> Column:
-            def cell(x: Column, j: Column) -> Column:
-                row, col = F.floor(j / WIDTH).cast("int"), j % WIDTH
-                mine = F.filter(found, lambda p: column_of(p["k"], row) == col)
-                less = F.aggregate(mine, x, lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(check_of(p["k"])).alias("h")))
-                return less
+            def cell(x: Column, c: Column) -> Column:
+                mine = F.filter(found, lambda p: within(p["k"], c))
+                return F.aggregate(mine, x, lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(check_of(p["k"])).alias("h")))
 
-            cells = F.when(F.size(found) > 0, F.transform(state["cells"], cell)).otherwise(state["cells"])
+            cells = F.when(F.size(found) > 0, F.zip_with(state["cells"], places(), cell)).otherwise(state["cells"])
             keys = F.concat(state["keys"], F.transform(found, lambda p: p["k"]))
             return F.struct(cells.alias("cells"), keys.alias("keys"), (F.size(found) > 0).alias("on"))
 
@@ -100,6 +111,11 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.when(empty(s), s["keys"]))
 
 
+def guess(cells: Column) -> Column:
+    """About how many digests a difference of sketches holds: each adds one to the expected square of one count in each row."""
+    return F.aggregate(cells, F.lit(0.0), lambda s, x: s + x["n"] * x["n"]) / ROWS
+
+
 def _stuck(n: Column, whole: Column) -> Column:
     """The state after the first try: digests found so far, and the parts that are to be tried again."""
     none = F.filter(whole, lambda p: F.lit(False))
@@ -113,16 +129,18 @@ def _retried(state: Column, level: int) -> Column:
         return F.shiftrightunsigned(d, 16 + 2 * level).bitwiseAND(F.lit(PARTS - 1).cast("long"))
 
     def split(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.struct(F.filter(p["a"], lambda d: bits(d) == i).alias("a"), F.filter(p["b"], lambda d: bits(d) == i).alias("b")))
+        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.struct(F.filter(p["a"], lambda d: bits(d) == i).alias("a"), F.filter(p["b"], lambda d: bits(d) == i).alias("b"), (p["d"] / PARTS).alias("d")))
 
     def tried(p: Column) -> Column:
-        small = F.size(p["a"]) + F.size(p["b"])
-        got = F.when(small == 0, F.lit(0)).otherwise(F.coalesce(F.size(peel(subtract(sketch(p["a"]), sketch(p["b"])))), F.lit(-1)))
-        return F.struct(got.alias("n"), p["a"].alias("a"), p["b"].alias("b"))
+        def peeled(cells: Column) -> Column:
+            return F.struct(F.coalesce(F.size(peel(cells)), F.lit(-1)).alias("n"), p["a"].alias("a"), p["b"].alias("b"), guess(cells).alias("d"))
+
+        at_once = F.struct(F.when(F.size(p["a"]) + F.size(p["b"]) == 0, F.lit(0)).otherwise(F.lit(-1)).alias("n"), p["a"].alias("a"), p["b"].alias("b"), p["d"].alias("d"))
+        return F.when((F.size(p["a"]) + F.size(p["b"]) == 0) | (p["d"] > HOPELESS), at_once).otherwise(let(subtract(sketch(p["a"]), sketch(p["b"])), peeled))
 
     def sum_up(r: Column) -> Column:
         n = F.aggregate(r, state["n"], lambda s, x: s + F.greatest(x["n"], F.lit(0)))
-        stuck = F.transform(F.filter(r, lambda x: x["n"] < 0), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+        stuck = F.transform(F.filter(r, lambda x: x["n"] < 0), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["d"].alias("d")))
         return F.struct(n.alias("n"), stuck.alias("parts"))
 
     parts = F.transform(F.flatten(F.transform(state["parts"], split)), tried)
@@ -137,7 +155,7 @@ def differing(rows: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> D
     """
 
     def whole(p: tuple[str, str, str, str]) -> Column:
-        return F.array(F.struct(F.col(p[0]).alias("a"), F.col(p[1]).alias("b")))
+        return F.array(F.struct(F.col(p[0]).alias("a"), F.col(p[1]).alias("b"), guess(subtract(F.col(p[2]), F.col(p[3]))).alias("d")))
 
     first = {n: F.coalesce(F.size(peel(subtract(F.col(p[2]), F.col(p[3])))), F.lit(-1)) for n, p in pairs.items()}
     out = settle(rows.withColumns(first))
