@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import chat_format, fingerprints, jaccard_join, packing, secret_scan, token_counts, token_files, topk, toxicity, unigram_codec
+from wardlake.llm import chat_format, fingerprints, jaccard_join, k2_treap, packing, periodic_runs, posting_lists, secret_scan, token_counts, token_files, topk, toxicity, unigram_codec
 from wardlake.plans.catalog import query
 from wardlake.sources.tables import table
 
@@ -91,3 +91,63 @@ def op10_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = jaccard_join.Rule(words=3, num=90, den=100)
     return jaccard_join.join_components(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_posting_lists")
+def op11_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(
+    "op12_k2_treap",
+    """
+with words as (
+  select doc_id, row_number() over () as row_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from documents),
+sizes as (select row_id, count(*) as n from words group by row_id),
+totals as (select count(*) as n_docs, sum(n)::bigint as n_terms from sizes),
+cells as (select any_value(doc_id) as doc_id, row_id, term, count(*) as tf from words group by row_id, term),
+weights as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from cells, totals group by term),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from benchmark),
+scored as (
+  select item_id, any_value(doc_id) as doc_id, row_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::bigint as score
+  from asked join cells using (term) join weights using (term) join sizes using (row_id), totals group by item_id, row_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+""",
+)
+def op12_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k2_treap.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def rewritten(doc_id: Column, text: Column) -> Column:
+    """The text of op13: of about every tenth document, chosen by the checksum of its id, the words from some place on repeat."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        word = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+        return F.when(n == 0, text).otherwise(F.array_join(word, " "))
+
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, fingerprints.let(words, repeated)).otherwise(text)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", rewritten(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.with_runs(docs)
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), F.lit(0))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("_most", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_most.s").alias("start"), (-F.col("_most.l")).alias("length"), F.col("_most.p").alias("period"),
+        F.floor(-1000 * F.col("_most.l") / F.col("_most.p")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
