@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: balanced posting lists under a graph of centroids.
 
-A bounded sample of the vectors (``SAMPLE_ROWS`` with the smallest hashes) is halved again and again along its own
+A bounded sample of the vectors (``SAMPLE_ROWS`` with the smallest hashes, equal ones once) is halved again and again along its own
 directions until the parts have the wanted size; their means are the centroids of the lists. Every row is indexed: it goes to the list of its
 nearest centroid and, when it lies near a boundary, to others that are at most ``(1 + CLOSURE)`` times as far, so that neighbours
 across a boundary share a list. Centroids are searched by a best-first walk over a graph of near centroids that each task holds in memory; at most
@@ -237,7 +237,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     if not size["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow()
-    index = fit(_matrix(sample.column("v"), size["w"]), size["n"])
+    index = fit(np.unique(_matrix(sample.column("v"), size["w"]), axis=0), size["n"])
     lists = len(index.centroids)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
