@@ -3,12 +3,14 @@
 A bounded sample of the vectors (``SAMPLE_ROWS`` with the smallest hashes, equal ones once) is halved again and again along its own
 directions until the parts have the wanted size; their means are the centroids of the lists. Every row is indexed: it goes to the list of its
 nearest centroid and, when it lies near a boundary, to others that are at most ``(1 + CLOSURE)`` times as far, so that neighbours
-across a boundary share a list. Centroids are searched by a best-first walk over a graph of near centroids that each task holds in memory; at most
-``MAX_LISTS`` centroids exist, whatever the table's size.
+across a boundary share a list. There are as many lists as the root of the number of rows, at most
+``MAX_LISTS``. Centroids are searched by a best-first walk over a graph of near centroids that each task holds in memory.
 
 A query walks the graph, and the lists whose centroid is at most ``1 + ratio`` times as far as the nearest are
 selected, at least as many as hold k other rows. The ratio is the smallest at which ``TARGET`` of
-the true neighbours within the sample is found. A list with many more rows than others (copies of one vector, say) is split into blocks by
+the true neighbours within the sample is found. Where that takes more lists than a walk follows, as with vectors of no structure, the distances to all
+centroids are taken. The ``FIRST`` nearest lists are scored first; the k-th score found there is a bound below which the other lists
+return nothing. A list with many more rows than others (copies of one vector, say) is split into blocks by
 hash, and many queries of one list into packs; each block and pack meet in one group of rows. The best of all groups are ranked together, by
 inner products that are added up in order of the components, so that equal vectors have equal scores.
 
@@ -37,13 +39,13 @@ from wardlake.llm.topk import _matrix
 
 SAMPLE_ROWS = 32_768
 SAMPLE_QUERIES = 256
-LIST_ROWS = 64
 MAX_LISTS = 4_096
 DEGREE = 16
 BEAM = 32
+FIRST = 8
 CLOSURE = 0.02
 COPIES = 4
-TARGET = 0.97
+TARGET = 0.95
 #: Rows of one list that make one group: four times the usual, within these bounds.
 BLOCK_ROWS = (256, 65_536)
 PACK_QUERIES = 512
@@ -119,18 +121,25 @@ class Index(NamedTuple):
         return row, who[row, at], at == 0
 
     def selected(self, x: np.ndarray, held: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-        """The lists that each query searches; ``held`` is how many rows have each list as their nearest."""
+        """The lists that each query searches, nearest first; ``held`` is how many rows have each list as their nearest."""
         q = self.queries(x)
-        todo, beam = np.arange(len(x)), 2 * BEAM
-        while len(todo):
-            who, far = self.walk(q[todo], beam)
-            inside = far <= far[:, :1] * (1 + self.ratio)
-            total = np.cumsum(np.where(np.isfinite(far), held[np.minimum(who, len(held) - 1)], 0), axis=1)
-            inside |= (np.concatenate([np.zeros((len(todo), 1)), total[:, :-1]], axis=1) < least) & np.isfinite(far)
-            ended = ~inside[:, -1] if beam < len(self.centroids) else np.ones(len(todo), bool)
-            for i in np.flatnonzero(ended).tolist():
-                yield int(todo[i]), who[i][inside[i]]
-            todo, beam = todo[~ended], 4 * beam
+        who, far = self.walk(q, 2 * BEAM)
+        inside = self._inside(who, far, held, least)
+        # A walk that would not end here is replaced by the distances to all centroids.
+        open_ = np.flatnonzero(inside[:, -1]) if who.shape[1] < len(self.centroids) else np.zeros(0, int)
+        for i in np.setdiff1d(np.arange(len(x)), open_).tolist():
+            yield i, who[i][inside[i]]
+        if len(open_):
+            d = np.sqrt(np.maximum(0.0, (q[open_] ** 2).sum(axis=1)[:, None] + self.squares - 2 * q[open_] @ self.centroids.T))
+            who = np.argsort(d, axis=1, kind="stable")
+            inside = self._inside(who, np.take_along_axis(d, who, 1), held, least)
+            for i, row in enumerate(open_.tolist()):
+                yield row, who[i][inside[i]]
+
+    def _inside(self, who: np.ndarray, far: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
+        total = np.cumsum(np.where(np.isfinite(far), held[who], 0), axis=1)
+        before = np.concatenate([np.zeros((len(who), 1)), total[:, :-1]], axis=1)
+        return np.isfinite(far) & ((far <= far[:, :1] * (1 + self.ratio)) | (before < least))
 
 
 def _halved(x: np.ndarray, size: int) -> list[np.ndarray]:
@@ -170,7 +179,7 @@ def _graph(c: np.ndarray) -> np.ndarray:
 
 def fit(sample: np.ndarray, total: int) -> Index:
     """Centroids, graph and ratio from a sample (rows x components) of a table of ``total`` rows."""
-    lists = int(min(MAX_LISTS, max(1, -(-total // LIST_ROWS))))
+    lists = int(min(MAX_LISTS, np.ceil(np.sqrt(total))))
     length = float(np.sqrt((sample * sample).sum(axis=1)).max())
     bare = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros(1), np.zeros((1, 1), int), np.zeros(1, int), length, 0.0)
     x = bare.rows(sample)
@@ -202,8 +211,8 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_group(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query id, id and score of the k best of a group for each query."""
+def best_of_group(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query id, id and score of the k best of a group for each query, none with scores below the query's floor."""
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
     reach = np.sqrt((x * x).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1))
@@ -214,6 +223,7 @@ def best_of_group(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
         rough[q_ids[a : a + step, None] == ids[None, :]] = -np.inf
         at = min(k, len(x)) - 1
         kth = -np.partition(-rough, at, axis=1)[:, at]
+        kth = np.maximum(kth, floor[a : a + step])
         least = np.where(np.isfinite(kth), kth - 1e-12 * width * reach[a : a + step], -np.finfo(float).max)
         row, column = np.nonzero(rough >= least[:, None])
         for b in range(0, len(row), 1 << 18):
@@ -222,7 +232,7 @@ def best_of_group(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     row, column, score = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((ids[column], -score, row))
     row, column, score = row[order], column[order], score[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & (score >= floor[row])
     return q_ids[row[keep]], ids[column[keep]], score[keep]
 
 
@@ -263,35 +273,49 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
-                row, name = [], []
+                row, name, turn = [], [], []
                 for i, chosen in index.selected(_matrix(part.column("v")), held, k + 1):
                     chosen = np.append(chosen, lists) if n_rows[lists] else chosen
                     row.append(np.full(len(chosen), i))
                     name.append(chosen)
+                    turn.append(np.arange(len(chosen)))
                 if row:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(name), pa.int32()), *[part.column(c).take(pa.array(np.concatenate(row))) for c in ("vec_id", "v")]], ["list", "vec_id", "v"])
+                    columns = [pa.array(np.concatenate(name), pa.int32()), pa.array(np.concatenate(turn), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, part.column("vec_id").take(pa.array(np.concatenate(row)))], ["list", "turn", "vec_id"])
 
-    asked = kept(rows.where(is_query).mapInArrow(ask, "list int, vec_id long, v array<double>"), "asked")
-    n_asked = np.zeros(lists + 1, np.int64)
-    for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
-        n_asked[r["list"]] = r["n"]
-    packs = -(-n_asked // PACK_QUERIES)
+    asking = rows.where(is_query)
+    # An id with several vectors asks with each of them.
+    asked = kept(asking.mapInArrow(ask, "list int, turn int, vec_id long").distinct(), "asked")
     # At most MAX_LISTS + 1 rows.
-    cuts = F.broadcast(spark.createDataFrame([(i, int(blocks[i]), int(packs[i])) for i in range(lists + 1)], "list int, blocks int, packs int"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    docs = placed.join(cuts, "list").where("packs > 0").select("list", one("blocks").alias("block"), each("packs").alias("pack"), "vec_id", "v")
-    queries = asked.join(cuts, "list").where("blocks > 0").select("list", each("blocks").alias("block"), one("packs").alias("pack"), "vec_id", "v")
-
-    def meet(some: pa.Table, these: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not some.num_rows or not these.num_rows:
-            return none
-        found = best_of_group(some.column("vec_id").to_numpy(), _matrix(some.column("v")), these.column("vec_id").to_numpy(), _matrix(these.column("v")), k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
-
-    key = ("list", "block", "pack")
-    found = queries.groupBy(*key).cogroup(docs.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    once = found.where(F.col("query_id") != F.col("vec_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cuts = F.broadcast(spark.createDataFrame([(i, int(blocks[i])) for i in range(lists + 1) if blocks[i]], "list int, blocks int"))
+    one = lambda n: F.pmod(F.xxhash64("vec_id", "v"), n).cast("int")
+    docs = placed.join(cuts, "list").select("list", one(F.col("blocks")).alias("block"), "vec_id", "v")
+
+    def scored(chosen: DataFrame, floors: DataFrame | None) -> DataFrame:
+        """Candidates from the chosen (list, query) pairs; ``floors`` holds the score that a query's candidates must reach."""
+        n_asked = chosen.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+        packs = F.broadcast(n_asked.select("list", F.ceil(F.col("n") / PACK_QUERIES).cast("int").alias("packs")))
+        with_v = chosen.join(asking, "vec_id")
+        with_v = with_v.withColumn("floor", F.lit(float("-inf"))) if floors is None else with_v.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        queries = with_v.join(packs, "list").join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), one(F.col("packs")).alias("pack"), "vec_id", "v", "floor")
+        rows_ = docs.join(packs, "list").select("list", "block", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack"), "vec_id", "v")
+
+        def meet(some: pa.Table, these: pa.Table) -> pa.Table:
+            if not some.num_rows or not these.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            found = best_of_group(some.column("vec_id").to_numpy(), _matrix(some.column("v")), some.column("floor").to_numpy(), these.column("vec_id").to_numpy(), _matrix(these.column("v")), k)
+            return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
+
+        key = ("list", "block", "pack")
+        found = queries.groupBy(*key).cogroup(rows_.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        return found.where(F.col("query_id") != F.col("vec_id"))
+
+    def best(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    near = kept(best(scored(asked.where(F.col("turn") < FIRST), None)), "near")
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = scored(asked.where(F.col("turn") >= FIRST), floors)
+    return best(near.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
