@@ -1,15 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text's paragraphs are its lines, cut at sentence ends and after every word whose hash
-meets a condition (one word in eight, in scripts without blanks one character in eight), so
-that a text of one line has several and an edit changes only those around it. Each distinct
-paragraph has a 64-bit digest, and the digest goes into one cell of each of three rows of
-cells; a cell keeps how many digests it holds, their exclusive or, and the exclusive or of
-their check values. Subtracting the sketches of two versions leaves the digests that
+A text's paragraphs are its lines, cut after words whose hash meets a condition (in scripts without blanks,
+characters): in texts of less than 1,024 characters one word in four and also at sentence ends, so that a short text has several; from there on
+one word in eight, sixteen and so on, half as many whenever the length grows by the factor 2.8, so that long texts have more paragraphs, but not as
+many more. A word that ends a paragraph in a long text ends one in a shorter text too, so that
+copies on two sides of a limit still share some. An edit changes only the paragraphs around it. Each distinct
+paragraph has a digest of 50 bits, of which the last 14 check the others, with a one above them. It goes into one cell of each of three rows of
+cells; a cell keeps the sum of its digests, so that one whole number holds how many there are and what they add up to. Subtracting the sketches of two versions leaves the digests that
 only one of them has. Peeling finds cells with a single digest, takes it out of its other cells, and so
 on. When peeling gets stuck, the sketch was too small: the digests are split by further
-bits and each part is tried with a sketch of its own, which is a sketch of four times
-the cells; parts that are stuck again are split again. What is left after the last
+bits and each part is tried with a sketch of its own, which is together a larger sketch (a
+part that looks too full is split on before it is tried); parts that are stuck again are split again. What is left after the last
 retry (tens of thousands of differing paragraphs) is compared digest by digest.
 
 Likeness of two fingerprints is the number of shared digests over the number of digests of both.
@@ -29,20 +30,28 @@ from pyspark.sql import functions as F
 from wardlake.functions.rows import settle
 from wardlake.llm.tables import order_chunk, shuffle_width
 
+#: A digest: KEY_BITS of a hash, CHECK_BITS below them, and a one at bit ONE.
+KEY_BITS, CHECK_BITS, ONE = 36, 14, 55
+#: Sums are taken modulo this, so that no text is too long; the sum of a difference is taken nearest to zero.
+MODULUS = 1 << 62
 ROWS, WIDTH = 3, 8
-CELLS = ROWS * WIDTH
-ROUNDS = 12
+#: Cells of a row in the sketches of parts.
+PART_WIDTH = 8
+ROUNDS = 6
 PARTS = 4
-RETRIES = 6
-#: A part that is thought to have more differing digests than this is split further before it is tried.
-HOPELESS = CELLS + 4
+RETRIES = 7
+#: The first of the bits of a digest that deal it to a part; those before choose its cells.
+SPLIT_FROM = CHECK_BITS + 9
+#: A sketch that is thought to hold more differing digests than this share of its cells is split further before it is tried.
+FULL = 0.42
 #: Scripts that are written without blanks: each character counts as a word.
 SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORD_END = rf"(?<=[\s{SCRIPTS}])"
-#: A paragraph ends after a word whose hash has all of these bits,
-CUT_BITS = 7
-#: and at line breaks and sentence ends.
-PARAGRAPH_END = r"\n|(?<=[.!?…؟۔।॥]\s)|(?<=[.!?…؟۔।॥][\"'”’»)]\s)|(?<=[。！？｡])"
+#: Texts shorter than this have the finest paragraphs: after words whose hash ends with so many set bits, and at sentence ends.
+FINE_CHARS, FINE_BITS = 1024, 2
+#: One bit more from FINE_CHARS on, and for each growth of the length by 2 ** STEP.
+STEP = 1.5
+SENTENCE_END = r"\n|(?<=[.!?…؟۔।॥]\s)|(?<=[.!?…؟۔।॥][\"'”’»)]\s)|(?<=[。！？｡])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,70 +59,94 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text."""
-    words = F.split(F.coalesce(text, F.lit("")), WORD_END)
-    ended = F.transform(words, lambda w: F.when(F.xxhash64(w).bitwiseAND(F.lit(CUT_BITS).cast("long")) == CUT_BITS, F.concat(w, F.lit("\n"))).otherwise(w))
-    found = F.transform(F.split(F.array_join(ended, ""), PARAGRAPH_END), lambda p: F.trim(p))
-    return F.array_distinct(F.transform(F.filter(found, lambda p: p != ""), lambda p: F.xxhash64(p)))
+
+    def cut(whole: Column) -> Column:
+        more = F.floor(F.log2(F.greatest(F.length(whole), F.lit(FINE_CHARS)) / FINE_CHARS) / STEP).cast("int") + 1
+        fine = F.length(whole) < FINE_CHARS
+        bits = (1 << FINE_BITS) * F.when(fine, 1).otherwise(F.pow(F.lit(2), more)).cast("long") - 1
+        marked = let(bits, lambda m: F.array_join(F.transform(F.split(whole, WORD_END), lambda w: F.when(F.xxhash64(w).bitwiseAND(m) == m, F.concat(w, F.lit("\n"))).otherwise(w)), ""))
+        return F.when(fine, F.split(marked, SENTENCE_END)).otherwise(F.split(marked, "\n"))
+
+    found = F.transform(let(F.coalesce(text, F.lit("")), cut), lambda p: F.trim(p))
+    keys = F.transform(F.filter(found, lambda p: p != ""), lambda p: F.xxhash64(p).bitwiseAND(_long((1 << KEY_BITS) - 1)))
+    return F.array_distinct(F.transform(keys, lambda k: F.shiftleft(k, CHECK_BITS) + _check(k) + _long(1 << ONE)))
+
+
+def _check(key: Column) -> Column:
+    return F.hash(key).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)).cast("long")
+
+
+def is_digest(value: Column) -> Column:
+    """Whether a number is a single digest: a one above, and last bits that check the others."""
+    key = F.shiftright(value, CHECK_BITS).bitwiseAND(_long((1 << KEY_BITS) - 1))
+    return (F.shiftright(value, KEY_BITS + CHECK_BITS) == 1 << (ONE - KEY_BITS - CHECK_BITS)) & (value.bitwiseAND(_long((1 << CHECK_BITS) - 1)) == _check(key))
 
 
-def check_of(digest: Column) -> Column:
-    return F.hash(digest).cast("long")
+def _rows(width: int) -> list[tuple[Column, Column]]:
+    """For each row of cells, the bits of a digest that choose its cell, and their value at each cell."""
+    bits = width.bit_length() - 1
+    at = [CHECK_BITS + row * bits for row in range(ROWS)]
+    return [(_long((width - 1) << i), F.array(*[_long(cell << i) for cell in range(width)])) for i in at]
 
 
-def places() -> Column:
-    """For each cell, the bits of a digest that choose it within its row (three for each row), and their value there."""
-    bits = [(row * 3, col) for row in range(ROWS) for col in range(WIDTH)]
-    return F.array(*[F.struct(F.lit((WIDTH - 1) << at).cast("long").alias("mask"), F.lit(col << at).cast("long").alias("is")) for at, col in bits])
+def _signed(x: Column) -> Column:
+    return F.when(x >= MODULUS // 2, x - MODULUS).otherwise(x)
 
 
-def within(digest: Column, place: Column) -> Column:
-    return digest.bitwiseAND(place["mask"]) == place["is"]
+def sketch(items: Column, minus: Column | None = None, width: int = WIDTH) -> Column:
+    """The cells of a set of digests, or of one set minus another: sums of the digests of each cell, modulo MODULUS."""
 
+    def total(set_: Column, mask: Column, here: Column, start: Column, sign: int) -> Column:
+        return F.aggregate(set_, start, lambda s, d: F.when(d.bitwiseAND(mask) == here, (s + sign * d).bitwiseAND(_long(MODULUS - 1))).otherwise(s))
 
-def sketch(items: Column) -> Column:
-    """The cells of a set of digests: how many, their exclusive or, and that of their checks."""
+    def row(mask: Column, cells: Column) -> Column:
+        def cell(here: Column) -> Column:
+            mine = total(items, mask, here, _long(0), 1)
+            return mine if minus is None else _signed(total(minus, mask, here, mine, -1))
 
-    def cell(here: Column) -> Column:
-        key = F.aggregate(here, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
-        check = F.aggregate(here, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(check_of(d)))
-        return F.struct(F.size(here).alias("n"), key.alias("k"), check.alias("h"))
+        return F.transform(cells, cell)
 
-    return F.transform(F.transform(places(), lambda c: F.filter(items, lambda d: within(d, c))), cell)
+    return F.concat(*[row(*r) for r in _rows(width)])
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+    return F.zip_with(a, b, lambda x, y: _signed((x - y).bitwiseAND(_long(MODULUS - 1))))
 
 
-def peel(cells: Column) -> Column:
-    """The digests that a difference of sketches holds, or null where peeling gets stuck."""
+def peel(cells: Column, width: int = WIDTH) -> Column:
+    """The digests that a difference of sketches holds, those of the second text negative; null where peeling gets stuck."""
+    n = ROWS * width
 
     def turn(state: Column, _: Column) -> Column:
-        single = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == check_of(x["k"])))
-        pure = F.array_distinct(F.transform(single, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
+        single = F.array_distinct(F.filter(F.slice(state, 1, n), lambda x: (x != 0) & is_digest(F.abs(x))))
 
         def rid(found: Column) -> Column:
-            def cell(x: Column, c: Column) -> Column:
-                mine = F.filter(found, lambda p: within(p["k"], c))
-                return F.aggregate(mine, x, lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(check_of(p["k"])).alias("h")))
+            def less(row: int, mask: Column, at: Column) -> Column:
+                def cell(x: Column, here: Column) -> Column:
+                    return F.when(x == 0, x).otherwise(F.aggregate(found, x, lambda s, d: F.when(F.abs(d).bitwiseAND(mask) == here, s - d).otherwise(s)))
 
-            cells = F.when(F.size(found) > 0, F.zip_with(state["cells"], places(), cell)).otherwise(state["cells"])
-            keys = F.concat(state["keys"], F.transform(found, lambda p: p["k"]))
-            return F.struct(cells.alias("cells"), keys.alias("keys"), (F.size(found) > 0).alias("on"))
+                return F.zip_with(F.slice(state, 1 + row * width, width), at, cell)
 
-        return F.when(state["on"], let(pure, rid)).otherwise(state)
+            left = [less(row, mask, at) for row, (mask, at) in enumerate(_rows(width))]
+            return F.when(F.size(found) == 0, state).otherwise(F.concat(*left, F.slice(state, n + 1, 2**31 - 1), found))
 
-    none = F.array().cast("array<bigint>")
-    start = F.struct(cells.alias("cells"), none.alias("keys"), F.lit(True).alias("on"))
-    empty = lambda s: F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["h"] == 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.when(empty(s), s["keys"]))
+        return let(single, rid)
+
+    def end(state: Column) -> Column:
+        return F.when(F.forall(F.slice(state, 1, n), lambda x: x == 0), F.slice(state, n + 1, 2**31 - 1))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), cells, turn, end)
 
 
 def guess(cells: Column) -> Column:
     """About how many digests a difference of sketches holds: each adds one to the expected square of one count in each row."""
-    return F.aggregate(cells, F.lit(0.0), lambda s, x: s + x["n"] * x["n"]) / ROWS
+    return F.aggregate(F.transform(cells, lambda x: F.round(x / (1 << ONE))), F.lit(0.0), lambda s, n: s + n * n) / ROWS
 
 
 def _stuck(n: Column, whole: Column) -> Column:
@@ -126,22 +159,20 @@ def _retried(state: Column, level: int) -> Column:
     """Splits the parts that got stuck by two further bits and tries each with a sketch of its own."""
 
     def bits(d: Column) -> Column:
-        return F.shiftrightunsigned(d, 16 + 2 * level).bitwiseAND(F.lit(PARTS - 1).cast("long"))
+        return F.shiftright(d, SPLIT_FROM + 2 * level).bitwiseAND(_long(PARTS - 1))
 
     def split(p: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.struct(F.filter(p["a"], lambda d: bits(d) == i).alias("a"), F.filter(p["b"], lambda d: bits(d) == i).alias("b"), (p["d"] / PARTS).alias("d")))
 
     def tried(p: Column) -> Column:
-        def peeled(cells: Column) -> Column:
-            return F.struct(F.coalesce(F.size(peel(cells)), F.lit(-1)).alias("n"), p["a"].alias("a"), p["b"].alias("b"), guess(cells).alias("d"))
-
-        at_once = F.struct(F.when(F.size(p["a"]) + F.size(p["b"]) == 0, F.lit(0)).otherwise(F.lit(-1)).alias("n"), p["a"].alias("a"), p["b"].alias("b"), p["d"].alias("d"))
-        return F.when((F.size(p["a"]) + F.size(p["b"]) == 0) | (p["d"] > HOPELESS), at_once).otherwise(let(subtract(sketch(p["a"]), sketch(p["b"])), peeled))
+        """How many digests differ, or -1 and the part."""
+        nothing = F.size(p["a"]) + F.size(p["b"]) == 0
+        n = F.when(nothing, 0).when(p["d"] > FULL * ROWS * PART_WIDTH, -1).otherwise(F.coalesce(F.size(peel(sketch(p["a"], p["b"], PART_WIDTH), PART_WIDTH)), F.lit(-1)))
+        return F.struct(n.alias("n"), p.alias("p"))
 
     def sum_up(r: Column) -> Column:
         n = F.aggregate(r, state["n"], lambda s, x: s + F.greatest(x["n"], F.lit(0)))
-        stuck = F.transform(F.filter(r, lambda x: x["n"] < 0), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["d"].alias("d")))
-        return F.struct(n.alias("n"), stuck.alias("parts"))
+        return F.struct(n.alias("n"), F.transform(F.filter(r, lambda x: x["n"] < 0), lambda x: x["p"]).alias("parts"))
 
     parts = F.transform(F.flatten(F.transform(state["parts"], split)), tried)
     return F.when(F.size(state["parts"]) > 0, let(parts, sum_up)).otherwise(state)
@@ -157,8 +188,10 @@ def differing(rows: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> D
     def whole(p: tuple[str, str, str, str]) -> Column:
         return F.array(F.struct(F.col(p[0]).alias("a"), F.col(p[1]).alias("b"), guess(subtract(F.col(p[2]), F.col(p[3]))).alias("d")))
 
-    first = {n: F.coalesce(F.size(peel(subtract(F.col(p[2]), F.col(p[3])))), F.lit(-1)) for n, p in pairs.items()}
-    out = settle(rows.withColumns(first))
+    def first(cells: Column) -> Column:
+        return F.when(guess(cells) > FULL * ROWS * WIDTH, F.lit(-1)).otherwise(F.coalesce(F.size(peel(cells)), F.lit(-1)))
+
+    out = settle(rows.withColumns({n: let(subtract(F.col(p[2]), F.col(p[3])), first) for n, p in pairs.items()}))
     out = settle(out.withColumns({n: _stuck(F.col(n), whole(p)) for n, p in pairs.items()}))
     for level in range(RETRIES):
         out = settle(out.withColumns({n: _retried(F.col(n), level) for n in pairs}))
@@ -176,14 +209,15 @@ def likeness(size_a: Column, size_b: Column, differ: Column) -> Column:
 
 def written(cells: Column, size: Column) -> Column:
     """A sketch as text: the number of digests, then each cell in hexadecimal."""
-    number = lambda c, w: F.lpad(F.hex(c), w, "0")
-    cell = lambda x: F.concat(number(x["n"].cast("long"), 4), number(x["k"], 16), F.substring(number(x["h"], 16), -8, 8))
+    cell = lambda x: F.lpad(F.hex(x), 16, "0")
     return F.concat_ws(":", F.hex(size.cast("long")), F.array_join(F.transform(cells, cell), ""))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
     """(doc_id, text, next_text): the text of the document that follows in descending id; the first one follows the last.
 
+    With a name for ``digest``, also the digests of both, which are computed once for each row.
+
     Rows of one id are ordered by text, descending; rows without an id come last. Rows are dealt into chunks of the
     order, and each chunk gets a copy of the first row of the chunk after it, so no window spans the table.
     """
@@ -198,14 +232,21 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     copies = copies.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("_to").cast("int").alias("_chunk"), F.lit(1).alias("_copy"))
     both = rows.select("doc_id", "text", F.col("_chunk").cast("int").alias("_chunk"), F.lit(0).alias("_copy")).unionByName(copies)
     order = Window.partitionBy("_chunk").orderBy("_copy", F.desc_nulls_last("doc_id"), F.desc("text"))
-    both = both.repartition(shuffle_width(spark), "_chunk").withColumn("next_text", F.lead("text").over(order))
-    return both.where(F.col("_copy") == 0).select("doc_id", "text", "next_text")
+    led = ["text"] + ([digest] if digest else [])
+    if digest:
+        both = both.withColumn(digest, digests(F.col("text")))
+    both = both.repartition(shuffle_width(spark), "_chunk").withColumns({f"next_{c}": F.lead(c).over(order) for c in led})
+    return both.where(F.col("_copy") == 0).select("doc_id", *led, *[f"next_{c}" for c in led])
+
 
+def compared(rows: DataFrame, text: str, others: dict[str, str], known: dict[str, str] | None = None) -> DataFrame:
+    """Adds the fingerprint of ``text`` and, for each other column, its fingerprint ``<name>_fingerprint`` and ``near_<name>``.
 
-def compared(rows: DataFrame, text: str, others: dict[str, str]) -> DataFrame:
-    """Adds the fingerprint of ``text`` and, for each other column, its fingerprint ``<name>_fingerprint`` and ``near_<name>``."""
+    ``known`` names columns that already hold the digests of the text (``self``) or of another.
+    """
     columns = {"self": text, **others}
-    out = settle(rows.withColumns({f"_d_{n}": digests(F.col(c)) for n, c in columns.items()}))
+    known = known or {}
+    out = settle(rows.withColumns({f"_d_{n}": F.col(known[n]) if n in known else digests(F.col(c)) for n, c in columns.items()}))
     out = settle(out.withColumns({f"_s_{n}": sketch(F.col(f"_d_{n}")) for n in columns}))
     out = differing(out, {f"_n_{n}": ("_d_self", f"_d_{n}", "_s_self", f"_s_{n}") for n in others})
     size = {n: F.size(f"_d_{n}") for n in columns}
