@@ -134,12 +134,12 @@ def peel(cells: Column, width: int = WIDTH) -> Column:
                 return F.zip_with(F.slice(state, 1 + row * width, width), at, cell)
 
             left = [less(row, mask, at) for row, (mask, at) in enumerate(_rows(width))]
-            return F.when(F.size(found) == 0, state).otherwise(F.concat(*left, F.slice(state, n + 1, 2**31 - 1), found))
+            return F.when(F.size(found) == 0, state).otherwise(F.concat(*left, F.slice(state, n + 1, 1 << 20), found))
 
         return let(single, rid)
 
     def end(state: Column) -> Column:
-        return F.when(F.forall(F.slice(state, 1, n), lambda x: x == 0), F.slice(state, n + 1, 2**31 - 1))
+        return F.when(F.forall(F.slice(state, 1, n), lambda x: x == 0), F.slice(state, n + 1, 1 << 20))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), cells, turn, end)
 
