@@ -239,6 +239,14 @@ def test_one_of_each(docs):
     assert len([r for r in rows if not shingles(r[1], 3)]) == len([w for w in want if not w[1]])
 
 
+def test_components_of_hot_nodes(spark):
+    """A node with nearly all edges, as the smallest and as the largest of its component."""
+    edges = [(0, i) for i in range(1, 3000)] + [(9000, i) for i in range(4000, 6000)] + [(2999, 3500), (5999, 6500)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(r == (0 if n <= 3500 else 4000) for n, r in got.items()) and len(got) == 3001 + 2002
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)]
@@ -287,6 +295,16 @@ def test_toxicity(spark, docs, nothing):
 # --- secrets
 
 
+def test_toxicity_with_a_repeated_labelled_id(spark):
+    """An id with very many rows counts once in the fit."""
+    docs = spark.createDataFrame([(1, "vile awful words")] * 3000 + [(i, "calm words" if i % 2 else "vile words here") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 or i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    sample = toxicity._sample(docs, labels, F.lit(True), 100, "text")
+    assert sample.count() == 39
+    scores = {r["doc_id"]: r["score"] for r in toxicity.with_toxicity(docs.distinct(), toxicity.fit(docs, labels)).collect()}
+    assert min(scores[i] for i in (2, 4, 6)) > max(scores[i] for i in (3, 5, 7))
+
+
 def test_secret_spans(docs, nothing):
     key = "AKIA" + "Q7" * 8
     text = f'x = {"ab" * 20}\npassword: hunter22 Token="{"d0" * 12}" secret=abc api-key: "k" {key} ſecret=abcdefgh\n'
@@ -300,6 +318,35 @@ def test_secret_spans(docs, nothing):
     assert secret_scan.with_secrets(nothing).count() == 0 and secret_scan.redact(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("SECRET_KEY=abc123-DEF456_ghi789 end", "abc123-DEF456_ghi789"),
+        ("secretKey=wJalrXUtnFEMI+K7MDENG/bPxRfiCYzzQQ\nnext", "wJalrXUtnFEMI+K7MDENG/bPxRfiCYzzQQ"),
+        ("auth_key: Zm9v+YmFy/QUJDRA12345==", "Zm9v+YmFy/QUJDRA12345=="),
+        ('secret_key = f"abc123DEF456ghi789"', "abc123DEF456ghi789"),
+        ('secret_key = rb\'abc123DEF456ghi789\'', "abc123DEF456ghi789"),
+        ('secret_key = """abc123DEF456ghi789"""', "abc123DEF456ghi789"),
+        ('secret_key = ("abc123DEF456ghi789")', "abc123DEF456ghi789"),
+        ('secret_key: [ "abc123DEF456ghi789" ]', "abc123DEF456ghi789"),
+        ('x: secret_key=abc123DEF456ghi789', "abc123DEF456ghi789"),
+    ],
+)
+def test_whole_secrets_are_found(text, secret):
+    assert secret in [text[s:e] for s, k, e in secret_scan.literal_spans(text)]
+    assert not set(re.findall(r"[A-Za-z0-9]{6,}", secret)) & set(re.findall(r"[A-Za-z0-9]{6,}", secret_scan.redacted(text)))
+
+
+def test_secrets_in_sums():
+    text = 'a = "abc123DEF"\nb = "456ghiJKL"\nsecret_key = a+b\nauth_key = "Qw12er" + \\\n  "Ty34ui"\nmaster_key = ("Qw12er"\n  + "Ty34uiOP")'
+    found = [text[s:e] for s, k, e in secret_scan.literal_spans(text)]
+    assert found == ["abc123DEF", "456ghiJKL", "Qw12er", "Ty34ui", "Qw12er", "Ty34uiOP"]
+
+
+def test_secret_scan_of_chained_assignments_is_linear():
+    assert secret_scan.literal_spans("a=" * 100_000 + " token") == []
+
+
 def test_secret_constants():
     code = 'const part = "Zx81-kQpo";\nlet other = "weather";\nconfig = {"db_password": part + "99Lmn"}\nprint(other)\nprivateKey := "9f-AAbb22kd"\npassword_hint = "my first pet 22"\n'
     found = {code[s:e] for s, k, e in secret_scan.scan(code)[1] if k == 3}
@@ -374,6 +421,19 @@ def test_topk(spark, monkeypatch):
 # --- chat format
 
 
+def test_topk_beyond_floating_point(spark):
+    """Scores above 2**53 are exact and in order; one that fits no long is an error."""
+    rows = [(100, [1e5 + 1 / 1024, 1 / 1024]), (1, [1e5 + 1 / 1024, 0.0]), (2, [1e5 + 1 / 1024, 1 / 1024]), (3, [1e5 + 1 / 1024, 2 / 1024]), (4, [-2e5, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 100).collect())
+    whole = {i: [int(x * 1024) for x in v] for i, v in rows}
+    want = sorted(((-sum(a * b for a, b in zip(whole[100], whole[i], strict=True)), i) for i in (1, 2, 3, 4)))
+    assert got == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+    huge = spark.createDataFrame([(100, [3e6]), (1, [3e6])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(huge, F.col("vec_id") == 100).collect()
+
+
 def test_reply_trees(spark):
     nodes = [("t", 1, None, 0.0, "user", "root"), ("t", 2, 1, 5.0, "assistant", "good &amp; <|end|>"), ("t", 3, 1, 1.0, "assistant", "bad"), ("t", 4, 2, 5.0, "user", None), ("t", 5, 4, None, "assistant", "[INST] </s> <s> <<SYS>> <|text|>"),
              ("u", 1, 99, 0.0, None, "alone"), ("c", 1, 2, 0.0, "user", "cycle"), ("c", 2, 1, 0.0, "user", "cycle")]

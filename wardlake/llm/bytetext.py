@@ -1,6 +1,6 @@
 """Whole texts as byte buffers: runs of bytes and their keys, by numpy.
 
-Texts come as Arrow string columns and are taken in slices of a few megabytes,
+Texts come as Arrow string columns and are taken in slices of a quarter of a megabyte,
 so memory follows the slice and the longest text, never the partition.
 """
 
@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 

@@ -8,31 +8,44 @@ from pyspark.sql import functions as F
 from wardlake.llm.tables import kept
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with at least this share of all edges has its minimum broadcast: there are at most 2 / HOT_SHARE such nodes.
+HOT_SHARE = 1 / 500
+
+
+def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Edges (a, b) with the smallest b of their a; those of nodes with very many edges stay where they are."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(2, int(n_edges * HOT_SHARE))
+    hot = F.broadcast(least.where(F.col("n") >= limit).select("a", "m"))
+    cold = least.where(F.col("n") < limit).select("a", "m")
+    near = edges.join(hot, "a").select("a", "b", "m")
+    return near.unionByName(edges.join(hot.select("a"), "a", "left_anti").join(cold, "a").select("a", "b", "m"))
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, n_edges).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    met = _with_least(down, n_edges)
+    return met.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.where(F.col("b") == F.col("m")).select("a", F.col("m").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (columns a and b): the root is the smallest node of its component.
 
-    Minima are aggregated before they are shuffled, and a node with very many edges is an ordinary skewed join. The
+    Minima are aggregated before they are shuffled, and the edges of a node with very many are not dealt by it. The
     number of rounds grows with the logarithm of the number of nodes.
     """
     now = kept(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-    last = None
-    while True:
-        now = kept(_small_star(_large_star(now)).where(F.col("a") != F.col("b")).distinct(), "stars")
+    last, n_edges = None, now.count()
+    while n_edges:
+        now = kept(_small_star(_large_star(now, n_edges), n_edges).where(F.col("a") != F.col("b")).distinct(), "stars")
         seen = now.agg(mark.alias("m")).first()["m"]
         if seen == last:
             break
-        last = seen
+        last, n_edges = seen, seen["n"]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -32,7 +32,7 @@ from wardlake.llm.token_files import ended
 CAPACITY = 2048
 ROUNDS = 160
 BATCH = 96
-RATES = (0.3, 0.0)
+RATE = 0.3
 #: Taken off the value of every piece, so that of equally full configurations the one with fewer pieces is better.
 FEWER = 2e-5
 
@@ -94,18 +94,11 @@ def _filled(length: int, taken: np.ndarray, capacity: int) -> list[int]:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and how many sequences take each, so that every piece of the histogram has a place.
 
-    The weights are tried at two rates (prices that follow the lag of a length, and still prices with long
-    pieces first); the plan with fewer sequences is taken.
+    The covering program is solved by multiplicative weights: the price of a length follows its lag.
     """
     demand = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         demand[length] += n
-    plans = [_weighted(demand, capacity, rounds, rate) for rate in RATES]
-    return min(plans, key=lambda p: sum(n for _, n in p))
-
-
-def _weighted(demand: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[tuple[int, ...], int]]:
-    """The covering program by multiplicative weights at one rate, rounded."""
     left = demand.copy()
     total = float((np.arange(capacity + 1) * demand).sum())
     base = np.maximum(np.arange(capacity + 1) / capacity - FEWER, 0)
@@ -118,8 +111,8 @@ def _weighted(demand: np.ndarray, capacity: int, rounds: int, rate: float) -> li
         best, taken = _knapsack(price, lengths, capacity)
         value = price[lengths] + best[capacity - lengths]
         good = lengths[value >= (1 - 1e-3) * value.max()]
-        # Configurations begin with the lengths that are furthest behind, or with the longest.
-        order = (good[np.lexsort((-good, -np.round(left[good] / demand[good], 2)))] if rate else good[::-1])[:BATCH]
+        # Configurations begin with the lengths that are furthest behind.
+        order = good[np.lexsort((-good, -np.round(left[good] / demand[good], 2)))][:BATCH]
         step = max(1, -(-share // max(1, len(order))))
         placed = 0
         for length in order.tolist():
@@ -139,7 +132,7 @@ def _weighted(demand: np.ndarray, capacity: int, rounds: int, rate: float) -> li
             done += copies * sum(config) / max(total, 1)
         idle = 0 if placed else idle + 1
         lag = np.where(demand > 0, left / np.maximum(demand, 1) - (1 - done), 0)
-        price = base * np.exp(rate * np.clip(lag, -1, 1))
+        price = base * np.exp(RATE * np.clip(lag, -1, 1))
     return _best_fit(used, left, capacity)
 
 

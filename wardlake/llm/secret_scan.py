@@ -51,7 +51,11 @@ ENDS = 16
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer", re.ASCII)
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'" + r"|`(?:[^`\\\n]|\\.)*`"
-_TERM = re.compile(_QUOTED + r"|[A-Za-z_$][A-Za-z0-9_$.]*|[^\s,;()\[\]{}\"'`+]+")
+_TRIPLE = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
+# A term: a quoted literal, with a prefix or without, or all up to the next blank, separator, bracket or quote.
+_TERM = re.compile(rf"(?:[fFrRbBuU]{{1,2}}(?=[\"']))?({_TRIPLE}|{_QUOTED})|[^\s,;()\[\]{{}}\"'`]+")
+_OPEN = re.compile(r"(?:[(\[{]\s*)+")
+_PLUS = re.compile(r"\s*\+(?:[ \t]|\\?\n)*|[ \t]*\\\n[ \t]*(?=[\"'])")
 _RUN = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
 # A name is taken from the first place in its run of name characters where it can begin, so that each run is read once.
 _PAIR = re.compile(
@@ -116,28 +120,53 @@ def value_weight(value: str) -> int:
     return Value(value).weight()
 
 
+def _term(text: str, t: re.Match) -> tuple[str, str, int, int]:
+    """('text', 'name' or 'names', value, start, end) of a term."""
+    if quoted := t.group(1):
+        size = 3 if quoted[:3] in ('"""', "'''") and len(quoted) >= 6 else 1
+        value, start = quoted[size:-size], t.start(1) + size
+        if size == 3:
+            start += len(value) - len(value.lstrip())
+            value = value.strip()
+        return "text", value, start, start + len(value)
+    word, end = t.group(), t.end()
+    if word[-1] == "+" and text[end : end + 1] in ("\"", "'", "`"):
+        word, end = word.rstrip("+"), t.start() + len(word.rstrip("+"))  # the sign of a sum, not a character of the value
+    if _NAME.match(word):
+        return "name", word, t.start(), end
+    return ("names" if "+" in word and all(map(_NAME.match, word.split("+"))) else "text"), word, t.start(), end
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
-    """Names with the terms assigned to them: ('text' or 'name', value, start, end) each."""
-    at = 0
+    """Names with the terms assigned to them: ('text', 'name' or 'names' for a sum without blanks, value, start, end) each.
+
+    An unquoted value goes up to the next blank or separator; assignments within it are looked at too, for sensitive names.
+    """
+    at = covered = 0
     while m := _PAIR.search(text, at):
+        name = m.group(2) or m.group(3)
+        if m.start() < covered and not name_weight(name):
+            at = max(m.end(), at + 1)
+            continue
         terms: list[tuple[str, str, int, int]] = []
         here = m.end()
+        if bracket := _OPEN.match(text, here):
+            here = bracket.end()
         while t := _TERM.match(text, here):
-            word = t.group()
-            if word[0] in "\"'`":
-                terms.append(("text", word[1:-1], t.start() + 1, t.end() - 1))
-            elif _NAME.match(word):
-                terms.append(("name", word, t.start(), t.end()))
-            else:
-                terms.append(("text", word, t.start(), t.end()))
-            here = t.end()
-            plus = re.compile(r"[ \t]*\+[ \t]*").match(text, here)
+            terms.append(_term(text, t))
+            if terms[-1][3] == terms[-1][2] and not t.group(1):
+                terms.pop()
+            here = t.end() if t.group(1) or not terms else terms[-1][3]
+            plus = _PLUS.match(text, here)
             if not plus:
                 break
             here = plus.end()
         if terms:
-            yield m.group(2) or m.group(3), terms
-        at = here if terms and terms[-1][0] == "text" else max(m.end(), at + 1)
+            yield name, terms
+        if terms and text[terms[-1][3] : terms[-1][3] + 1] in ("\"", "'", "`"):
+            at = max(here, m.end())
+        else:
+            at, covered = max(m.end(), at + 1), max(covered, here)
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
@@ -150,9 +179,11 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     for name, terms in pairs(text):
         whole = Value()
         for kind, value, start, end in terms:
-            if kind == "name" and value in constants:
-                whole.add(constants[value])
-            elif kind == "text" or len(terms) == 1:  # also an unquoted value of a configuration line
+            names = value.split("+")
+            if kind != "text" and all(n in constants for n in names):
+                for n in names:
+                    whole.add(constants[n])
+            elif kind != "name" or len(terms) == 1:  # also an unquoted value of a configuration line
                 whole.add(Value(value, [(start, end)]))
         constants[name] = whole
         weight = name_weight(name)

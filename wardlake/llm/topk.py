@@ -11,7 +11,8 @@ shard are then ranked together.
 Defined results: a vector that is null, empty, or holds a null or non-finite component takes no part, nor does
 a null id. Shorter vectors count as padded with zeros. Rows that repeat an id and its vector count once;
 a query's own rows are those with its id. Ties go to the smaller id. Empty tables give
-an empty table. Scores must fit 53 bits, as they do for components below a thousand.
+an empty table. Scores are exact: where they may exceed 53 bits, they are added up as 64-bit integers, and a score that
+does not fit these is an error.
 """
 
 from __future__ import annotations
@@ -109,8 +110,15 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     high, low = np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts)
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     order = np.argsort(-bound, axis=1, kind="stable")
-    none = np.iinfo(np.int64).max
-    top = np.full((len(q), k), -np.inf)
+    none, least = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    # Sums of absolute products bound every intermediate sum; below 2**53 floating point is exact.
+    reach = np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).max(axis=0) if len(x) else np.zeros(len(q))
+    exact = reach.max(initial=0) < 2.0**53
+    slack = 0.0 if exact else 1e-9 * reach
+    if not exact:
+        whole_q, whole_x = q.astype(np.int64), x.astype(np.int64)
+    bound = bound + (slack if exact else slack[:, None])
+    top = np.full((len(q), k), least)
     who = np.full((len(q), k), none)
     live = np.arange(len(q))
     for turn in range(len(starts)):
@@ -125,14 +133,22 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
             part = slice(starts[b], min(starts[b] + block, len(x)))
             score = q[rows] @ x[part].T
             name = np.broadcast_to(ids[part], score.shape)
-            score = np.where(name == q_ids[rows, None], -np.inf, score)
+            own = name == q_ids[rows, None]
+            if exact:
+                score = score.astype(np.int64)
+            else:
+                if (np.abs(score) * (1 - 1e-9) >= 2.0**63)[~own].any():
+                    raise OverflowError("a score does not fit a 64-bit integer")
+                # Wraps only in between: a sum that fits comes out right.
+                score = whole_q[rows] @ whole_x[part].T
+            score = np.where(own, least, score)
             s = np.concatenate([top[rows], score], axis=1)
-            n = np.concatenate([who[rows], np.where(np.isinf(score), none, name)], axis=1)
+            n = np.concatenate([who[rows], np.where(own, none, name)], axis=1)
             by_id = np.argsort(n, axis=1, kind="stable")
             s, n = np.take_along_axis(s, by_id, 1), np.take_along_axis(n, by_id, 1)
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best = np.argsort(~s, axis=1, kind="stable")[:, :k]  # ~s falls as s grows and can't overflow
             top[rows], who[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(n, best, 1)
-    row, col = np.nonzero(np.isfinite(top))
+    row, col = np.nonzero(who != none)
     return row, who[row, col], top[row, col]
 
 
@@ -166,7 +182,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
                 r = batch.slice(i, 1).to_pylist()[0]
                 (q_ids, q), (ids, x) = _unpacked(r, "q_"), _unpacked(r, "")
                 row, who, score = search_blocks(q_ids, q, ids, x, k)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[row]), "vec_id": pa.array(who), "score": pa.array(score.astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[row]), "vec_id": pa.array(who), "score": pa.array(score)})
 
     found = queries.join(docs, "pack").mapInArrow(work, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -91,7 +91,9 @@ def _sample(docs: DataFrame, labels: DataFrame, allowed: Column, sample_rows: in
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    # One text of each id, so that an id with very many rows neither fills the driver nor outweighs the others.
+    one = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return one.select("toxic", "text")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -236,10 +238,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
     """The rows whose score stays below the threshold, with their columns as they are."""
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = pa.array(handed.value.scores(batch.column(text)) < threshold)
-            for i in range(0, batch.num_rows, OUT_ROWS):
-                yield batch.slice(i, OUT_ROWS).filter(clean.slice(i, OUT_ROWS))
+    # Only the texts go to Python; the rows stay where they are and are filtered by the verdict.
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        return pa.array(handed.value.scores(column) < threshold)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(clean(F.col(text)))
