@@ -55,6 +55,7 @@ _TRIPLE = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
 # A term: a quoted literal, with a prefix or without, or all up to the next blank, separator, bracket or quote.
 _TERM = re.compile(rf"(?:[fFrRbBuU]{{1,2}}(?=[\"']))?({_TRIPLE}|{_QUOTED})|[^\s,;()\[\]{{}}\"'`]+")
 _OPEN = re.compile(r"(?:[(\[{]\s*)+")
+_KEY_SIGN = re.compile(r"[ \t]*[:=]")
 _PLUS = re.compile(r"\s*\+(?:[ \t]|\\?\n)*|[ \t]*\\\n[ \t]*(?=[\"'])")
 _RUN = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
 # A name is taken from the first place in its run of name characters where it can begin, so that each run is read once.
@@ -161,6 +162,9 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
             if not plus:
                 break
             here = plus.end()
+        if bracket and terms and _KEY_SIGN.match(text, here):  # a key within the bracket, not a value
+            at = m.end()
+            continue
         if terms:
             yield name, terms
         if terms and text[terms[-1][3] : terms[-1][3] + 1] in ("\"", "'", "`"):
