@@ -316,24 +316,28 @@ def combine(decisions: DataFrame, key: str = "interaction_id") -> DataFrame:
         F.max_by(pick, F.when(F.col("direction") == "input", rank)).alias("i"),
         F.max_by(pick, F.when(F.col("direction") == "output", rank)).alias("o"),
     )
-    blocked = F.coalesce(F.col("o.action") == "block", F.lit(False))
-    in_flag = F.coalesce(F.col("i.action") == "flag", F.lit(False))
-    out_flag = F.coalesce(F.col("o.action") == "flag", F.lit(False))
-    flag_reason = F.when(in_flag, F.col("i.reason")).otherwise(F.col("o.reason"))
-    return pair.select(
-        key,
+    return pair.select(key, *merged(F.col("i"), F.col("o")))
+
+
+def merged(i: Column, o: Column) -> list[Column]:
+    """The columns of a combined decision from those of the two directions (structs, null where there is none)."""
+    blocked = F.coalesce(o["action"] == "block", F.lit(False))
+    in_flag = F.coalesce(i["action"] == "flag", F.lit(False))
+    out_flag = F.coalesce(o["action"] == "flag", F.lit(False))
+    flag_reason = F.when(in_flag, i["reason"]).otherwise(o["reason"])
+    return [
         F.when(blocked, "block").when(in_flag | out_flag, "flag").otherwise("allow").alias("action"),
-        F.when(blocked, F.coalesce(F.col("o.reason"), F.lit("Response blocked by output safety policy")))
+        F.when(blocked, F.coalesce(o["reason"], F.lit("Response blocked by output safety policy")))
         .when(in_flag | out_flag, F.concat(F.lit("Warning flagged: "), flag_reason))
         .otherwise("All checks passed")
         .alias("reason"),
         F.when(blocked, "high").when(in_flag | out_flag, "medium").otherwise("low").alias("tier"),
-        F.greatest(F.coalesce("i.confidence", F.lit(0.0)), F.coalesce("o.confidence", F.lit(0.0))).alias("confidence"),
-        F.coalesce("o.policy_version", "i.policy_version", F.lit("default")).alias("policy_version"),
+        F.greatest(F.coalesce(i["confidence"], F.lit(0.0)), F.coalesce(o["confidence"], F.lit(0.0))).alias("confidence"),
+        F.coalesce(o["policy_version"], i["policy_version"], F.lit("default")).alias("policy_version"),
         blocked.alias("content_replaced"),
-        (F.coalesce(F.col("i.action") == "escalate", F.lit(False)) | F.coalesce(F.col("o.action") == "escalate", F.lit(False))).alias("escalated"),
+        (F.coalesce(i["action"] == "escalate", F.lit(False)) | F.coalesce(o["action"] == "escalate", F.lit(False))).alias("escalated"),
         F.when(out_flag, "output").otherwise("input").alias("flag_direction"),
-    )
+    ]
 
 
 def combine_checks(checks: DataFrame, key: str = "interaction_id") -> DataFrame:

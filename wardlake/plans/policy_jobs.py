@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlake import fixed
 from wardlake.functions import rules, text
 from wardlake.operators import detect, fusion, lexicon, pii, policy, secrets, similarity
-from wardlake.plans import inputs, sql
+from wardlake.plans import detector_jobs, governance, inputs, sql
 from wardlake.plans.catalog import query
 from wardlake.plans.detector_jobs import (
     ENTITIES, INJECTION_CONTEXT, SECRETS, TIERS, TOXICITY_CONTEXT, VARIANTS, entities_cte, policy_key_sql,
@@ -349,3 +349,23 @@ def token_cap(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy("use_case").agg(
         F.max("cap").alias("cap"), F.count(F.lit(1)).alias("n"), over.alias("over_cap"), F.round(over / F.count(F.lit(1)), 6).alias("over_share")
     )
+
+
+def interaction_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user turn with the assistant turn that follows it, and what both guards need."""
+    turns = inputs.conversations(spark, sf)
+    c, t = F.col("conv_id"), F.col("turn")
+    phrase = F.coalesce(pick(c * 7 + t, inputs.PHRASES), F.lit(" shut up you loser"))
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", "text", phrase).alias("prompt"))
+    replies = detector_jobs.outputs(spark, sf).select("conv_id", (t - 1).alias("turn"), F.concat("text", pick(c + t, OUT_TAILS)).alias("reply"), "prompts")
+    return asked.join(replies, ["conv_id", "turn"]).select(
+        F.concat_ws(":", c.cast("string"), t.cast("string")).alias("interaction_id"), c.cast("string").alias("session_id"), "prompt", "reply", "prompts",
+        pick(c, inputs.CASES).alias("use_case"), pick(c + t, inputs.PLACES).alias("geography"), F.array().cast("array<string>").alias("declared"),
+        pick(c, TYPES).alias("content_type"), F.lit(inputs.NOW).cast("timestamp").alias("created_at"),
+    )
+
+
+@query("whole_interaction")
+def whole_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    """From prompts and replies to combined decisions: input guard, output guard where the input passed, audit events, reviews."""
+    return governance.outcome(governance.interactions(interaction_pairs(spark, sf)))

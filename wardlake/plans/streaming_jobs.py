@@ -10,9 +10,10 @@ from wardlake.functions import ordered
 from wardlake.plans import inputs
 from wardlake.plans.analytics_jobs import RISK, alerts_sql
 from wardlake.plans.catalog import query
-from wardlake.plans.detector_jobs import ENTITIES
+from wardlake.operators import leakage
+from wardlake.plans.detector_jobs import ENTITIES, TAILS
 from wardlake.plans.inputs import pick
-from wardlake.streaming import guard, state, windows
+from wardlake.streaming import guard, state, token_guard, windows
 from wardlake.streaming.runs import drain_each, drain_to_table, read_stream
 from wardlake.session import shared_folder
 
@@ -142,3 +143,39 @@ def stream_escalation_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     drain_each(ev, "reviews", step)
     rows = spark.read.schema("interaction_id long, event_id long, decision_action string").parquet(path)
     return rows.groupBy("interaction_id").agg(F.max_by("decision_action", "event_id").alias("decision_action"))
+
+
+@query(
+    "stream_sigma_all_windows",
+    f"WITH {_WINDOWED} {alerts_sql('rated', 'window_start, total_interactions')}",
+)
+def stream_sigma_all_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of all windows: those a stream has closed, and the open ones by a closing pass."""
+    width = f"{WIDTH_S} seconds"
+    ev = inputs.as_audit(read_stream(spark, sf, "events"))
+    closed = drain_to_table(windows.windowed_rates(ev, width), "rates")
+    table_ = inputs.audit_events(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return _alert_rows(windows.with_open_windows(closed, table_, width))
+
+
+@query(
+    "stream_milestone_trigger",
+    f"""WITH {inputs.AUDIT}, c AS (SELECT event_id, row_number() OVER (ORDER BY created_at, event_id) AS flag_number FROM audit WHERE decision_action = 'flag')
+    SELECT flag_number, event_id FROM c WHERE flag_number % 10 = 0""",
+)
+def stream_milestone_trigger(spark: SparkSession, sf: str) -> DataFrame:
+    """The flags at which an evaluation is due: every tenth, counted across batches."""
+    path = shared_folder(spark, "milestones")
+    drain_each(inputs.as_audit(read_stream(spark, sf, "events")), "milestones", state.milestone_step(path))
+    return spark.read.schema("flag_number long, event_id long").parquet(f"{path}/due").select("flag_number", "event_id")
+
+
+@query("stream_token_guard")
+def stream_token_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies as token streams that end at the first window which leaks by the full rule, or holds a secret's marker."""
+    raw = read_stream(spark, sf, "conversations").where("role = 'assistant'")
+    tail = F.coalesce(pick(F.col("conv_id"), TAILS), F.lit(leakage.DEFAULT_PROMPT))
+    replies = raw.select(F.concat_ws(":", "conv_id", "turn").alias("stream_id"), F.concat_ws(" ", "text", tail).alias("text"))
+    path = shared_folder(spark, "tokens")
+    drain_each(windows.tokens(replies, "stream_id"), "tokens", token_guard.step(path))
+    return spark.read.schema(token_guard.OUT).parquet(f"{path}/out").select("stream_id", "seq", "content", "finish_reason")

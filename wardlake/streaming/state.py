@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wardlake.operators.analytics import blast_radius
+from wardlake.operators.analytics import blast_radius, flag_milestones
 
 # In hundredths, so that sums are exact.
 COSTS = {"irreversible_action": 50, "reversible_write": 25, "read_only": 5}
@@ -63,3 +63,24 @@ def flag_counts(flags: DataFrame) -> DataFrame:
     combines before the shuffle.
     """
     return flags.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("flags"))
+
+
+def milestone_step(path: str, every: int = 10) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes a row (flag_number, event_id) at exactly every tenth flag since the stream began.
+
+    The counter is a table: each batch writes its number of flags to ``path``/counts under its own id and reads those before
+    it, so a batch that is repeated after a failure or restart gives the same rows in the same place. Flags of a
+    batch are numbered by time and id.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        flags = batch.where(F.col("decision_action") == "flag").select("event_id", "created_at", "decision_action")
+        flags.agg(F.count(F.lit(1)).alias("flags")).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        counts = spark.read.option("basePath", f"{path}/counts").schema("flags long, batch long").parquet(f"{path}/counts")
+        before = counts.where(F.col("batch") < batch_id).agg(F.coalesce(F.sum("flags"), F.lit(0)).alias("n")).first()["n"]
+        number = F.col("flag_count") + before
+        due = flag_milestones(flags).select(number.alias("flag_number"), "event_id").where(number % every == 0)
+        due.write.mode("overwrite").parquet(f"{path}/due/batch={batch_id}")
+
+    return step

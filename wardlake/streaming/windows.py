@@ -32,6 +32,17 @@ def windowed_rates(events: DataFrame, width: str = "60 seconds", delay: str = "1
     )
 
 
+def with_open_windows(closed: DataFrame, events: DataFrame, width: str = "60 seconds") -> DataFrame:
+    """Rates a stream has emitted, and those of the windows that the watermark has not closed, from the events since the last closed one.
+
+    The closing pass reads only events of open windows; run again later, it replaces them.
+    """
+    width_s = F.expr(f"INTERVAL {width}")
+    last = closed.agg((F.max("window_start") + width_s).alias("_from"))
+    rest = events.join(F.broadcast(last), F.col("_from").isNull() | (F.col("created_at") >= F.col("_from"))).drop("_from")
+    return closed.unionByName(windowed_rates(rest, width, watermark=False))
+
+
 def windowed_alerts(rates: DataFrame) -> DataFrame:
     return analytics.sigma_alerts(rates)
 
