@@ -34,8 +34,9 @@ def test_whole_interaction(spark):
     assert sides["calm"] == ("allow", "allow") == sides["code"] == sides["empty"]
     assert {sides[i][1] for i in ("leak", "canary", "key")} == {"block"}
     got = {r["interaction_id"]: r for r in governance.outcome(judged).collect()}
-    assert {i: r["action"] for i, r in got.items() if i != "rude"} == {"calm": "allow", "attack": "block", "leak": "block", "canary": "block", "key": "block", "code": "allow", "empty": "allow"}
-    assert got["rude"]["action"] != "allow" and got["attack"]["n_events"] == 1 and got["leak"]["n_events"] == 2
+    assert {i: r["action"] for i, r in got.items()} == {"rude": "allow", "calm": "allow", "attack": "block", "leak": "block", "canary": "block", "key": "block", "code": "allow", "empty": "allow"}
+    assert got["rude"]["confidence"] >= 0.5 > got["code"]["confidence"]  # structured content is not scored for toxicity
+    assert got["attack"]["n_events"] == 1 and got["leak"]["n_events"] == 2
     assert got["attack"]["reason"] and not got["attack"]["content_replaced"] and got["leak"]["content_replaced"]
     # The long form leaves the same events and, where the input passed, the same combined decision.
     long = governance.decisions(judged.where("input.action != 'block'"))

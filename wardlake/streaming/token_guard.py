@@ -39,9 +39,10 @@ def guarded(tokens: DataFrame, state: DataFrame, prompts: Column, batch: int, si
     """
     came = tokens.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "token"))).alias("_new"))
     none = F.array().cast("array<struct<seq:int,token:string>>")
-    rows = state.join(came, "stream_id", "full").where(~F.coalesce("stopped", F.lit(False)) | F.col("_new").isNull())
+    rows = state.join(came, "stream_id", "full")
+    # A stopped stream stays stopped: what comes after is let go unread.
     rows = rows.select(
-        "stream_id", F.coalesce("stopped", F.lit(False)).alias("stopped"), F.coalesce("tail", none).alias("tail"), F.coalesce("_new", none).alias("_new"),
+        "stream_id", F.coalesce("stopped", F.lit(False)).alias("stopped"), F.coalesce("tail", none).alias("tail"), F.when(F.coalesce("stopped", F.lit(False)), none).otherwise(F.coalesce("_new", none)).alias("_new"),
         F.when(F.col("_new").isNotNull(), F.lit(batch)).otherwise(F.col("seen")).alias("seen"),
     )
     rows = settle(rows.withColumn("_all", F.concat("tail", "_new")))
