@@ -16,10 +16,11 @@ def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
     """Edges (a, b) with the smallest b of their a; those of nodes with very many edges stay where they are."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
     limit = max(2, int(n_edges * HOT_SHARE))
-    hot = F.broadcast(least.where(F.col("n") >= limit).select("a", "m"))
-    cold = least.where(F.col("n") < limit).select("a", "m")
-    near = edges.join(hot, "a").select("a", "b", "m")
-    return near.unionByName(edges.join(hot.select("a"), "a", "left_anti").join(cold, "a").select("a", "b", "m"))
+    hot = F.broadcast(least.where(F.col("n") >= limit).select("a", F.col("m").alias("_hot")))
+    cold = least.where(F.col("n") < limit).select(F.col("a").alias("_key"), F.col("m").alias("_cold"))
+    # Edges that have their minimum are dealt by their other end, and what they may meet there is not used.
+    met = edges.join(hot, "a", "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("a")).otherwise(F.xxhash64("b")))
+    return met.join(cold, "_key", "left").select("a", "b", F.coalesce("_hot", "_cold").alias("m"))
 
 
 def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
@@ -29,8 +30,8 @@ def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
 
 def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    met = _with_least(down, n_edges)
-    return met.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.where(F.col("b") == F.col("m")).select("a", F.col("m").alias("b")))
+    # Each neighbour meets the minimum; the minimum itself meets the node.
+    return _with_least(down, n_edges).select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
