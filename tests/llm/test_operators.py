@@ -75,6 +75,21 @@ def test_fingerprint_likeness(spark):
     assert got[4]["fingerprint"] == got[4]["b_fingerprint"]
 
 
+def test_peeling_counts_every_difference(spark):
+    """Many pairs with 0 to 80 differing digests: sums that look like a digest by chance don't change a count."""
+    rng = random.Random(9)
+    pairs = []
+    for i in range(1500):
+        a, b = ({f"{rng.random()}" for _ in range(rng.randint(0, 40))} for _ in range(2))
+        both = {f"{rng.random()}" for _ in range(rng.randint(0, 20))}
+        pairs.append((i, sorted(a | both), sorted(b | both), len(a) + len(b)))
+    rows = spark.createDataFrame([(i, "\n".join(a), "\n".join(b), n) for i, a, b, n in pairs], "k int, a string, b string, want int")
+    rows = rows.withColumns({c: fingerprints.digests(F.col(x)) for c, x in (("da", "a"), ("db", "b"))})
+    rows = rows.withColumns({c: fingerprints.sketch(F.col(x)) for c, x in (("sa", "da"), ("sb", "db"))})
+    got = fingerprints.differing(rows, {"n": ("da", "db", "sa", "sb")})
+    assert got.where(F.col("n") != F.col("want")).count() == 0
+
+
 def test_near_copies_of_one_line_are_alike(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(60)]

@@ -36,14 +36,14 @@ KEY_BITS, CHECK_BITS, ONE = 36, 14, 55
 MODULUS = 1 << 62
 ROWS, WIDTH = 3, 8
 #: Cells of a row in the sketches of parts.
-PART_WIDTH = 8
+PART_WIDTH = 4
 ROUNDS = 6
 PARTS = 4
 RETRIES = 7
 #: The first of the bits of a digest that deal it to a part; those before choose its cells.
 SPLIT_FROM = CHECK_BITS + 9
 #: A sketch that is thought to hold more differing digests than this share of its cells is split further before it is tried.
-FULL = 0.42
+FULL = 0.6
 #: Scripts that are written without blanks: each character counts as a word.
 SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORD_END = rf"(?<=[\s{SCRIPTS}])"
@@ -103,24 +103,26 @@ def sketch(items: Column, minus: Column | None = None, width: int = WIDTH) -> Co
     """The cells of a set of digests, or of one set minus another: sums of the digests of each cell, modulo MODULUS."""
 
     def total(set_: Column, mask: Column, here: Column, start: Column, sign: int) -> Column:
-        return F.aggregate(set_, start, lambda s, d: F.when(d.bitwiseAND(mask) == here, (s + sign * d).bitwiseAND(_long(MODULUS - 1))).otherwise(s))
+        return F.aggregate(set_, start, lambda s, d: F.when(d.bitwiseAND(mask) == here, (s + d if sign > 0 else s - d).bitwiseAND(_long(MODULUS - 1))).otherwise(s))
 
     def row(mask: Column, cells: Column) -> Column:
         def cell(here: Column) -> Column:
             mine = total(items, mask, here, _long(0), 1)
-            return mine if minus is None else _signed(total(minus, mask, here, mine, -1))
+            return mine if minus is None else total(minus, mask, here, mine, -1)
 
-        return F.transform(cells, cell)
+        # The sign is taken in a step of its own, as it names its value three times.
+        sums = F.transform(cells, cell)
+        return sums if minus is None else F.transform(sums, _signed)
 
     return F.concat(*[row(*r) for r in _rows(width)])
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _signed((x - y).bitwiseAND(_long(MODULUS - 1))))
+    return F.transform(F.zip_with(a, b, lambda x, y: (x - y).bitwiseAND(_long(MODULUS - 1))), _signed)
 
 
 def peel(cells: Column, width: int = WIDTH) -> Column:
-    """The digests that a difference of sketches holds, those of the second text negative; null where peeling gets stuck."""
+    """The digests that a difference of sketches holds, those of the second text negative; null where peeling gets stuck or finds one twice."""
     n = ROWS * width
 
     def turn(state: Column, _: Column) -> Column:
@@ -139,7 +141,10 @@ def peel(cells: Column, width: int = WIDTH) -> Column:
         return let(single, rid)
 
     def end(state: Column) -> Column:
-        return F.when(F.forall(F.slice(state, 1, n), lambda x: x == 0), F.slice(state, n + 1, 1 << 20))
+        found = F.slice(state, n + 1, 1 << 20)
+        # A sum that looked like a digest is taken out again with the other sign; then the sketch counts as stuck.
+        twice = F.size(F.array_distinct(F.transform(found, lambda d: F.abs(d)))) < F.size(found)
+        return F.when(F.forall(F.slice(state, 1, n), lambda x: x == 0) & ~twice, found)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), cells, turn, end)
 
