@@ -1,27 +1,26 @@
 """Top-k cosine search of texts or vectors against a corpus.
 
 A corpus within the size limit is shipped to the tasks and the scan stays one
-narrow stage. A larger one is cut into blocks; queries meet each block in
-bounded groups and the partial top-k lists are merged. Both ways are exact, and
-equal similarities go to the smaller corpus id in its own type.
+narrow stage. A larger one is searched by cells with bounds (``cells``). Both
+ways are exact, and equal similarities go to the smaller corpus id in its own
+type. Null vectors, vectors of another length than the corpus's usual one and
+those with null or non-finite components take no part, nor do corpus rows
+without an id; a zero vector has similarity 0 with everything.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import vectors
 from wardlake.functions.rows import spread
+from wardlake.operators import cells
 from wardlake.session import bounded_rows
 
 MAX_CORPUS = 4096
-QUERY_BLOCK = 20_000
-DIGITS = 6
 MATCHES = "array<struct<match_id:string,similarity:double>>"
 
 
@@ -37,27 +36,14 @@ def sparse_rows(df: DataFrame, id_col: str, text_col: str = "text", stopwords: b
     return spread(dense, [id_col], "vector", "weight", "bucket").where("weight <> 0")
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return matrix / np.where(norms > 0, norms, 1.0)
-
-
-def _best(queries: np.ndarray, corpus: np.ndarray, ids: list, k: int) -> list[list[dict]]:
-    out: list[list[dict]] = []
-    k = min(k, len(ids))
-    for lo in range(0, len(queries), 1024):
-        sims = np.round(queries[lo : lo + 1024] @ corpus.T, DIGITS)
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        out.extend(
-            [{"match_id": ids[j], "similarity": float(row[j])} for j in best] for row, best in zip(sims, order, strict=True)
-        )
-    return out
+def _listed(found: list[list[tuple]]) -> pd.Series:
+    return pd.Series([[{"match_id": i, "similarity": s} for i, s in rows] for rows in found], dtype=object)
 
 
 def _text_ranker(corpus: np.ndarray, ids: list[str], k: int):
     @F.pandas_udf(MATCHES)
     def rank(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series(_best(vectors.dense_batch(one.tolist(), two.tolist()), corpus, ids, k))
+        return _listed(cells.best(vectors.dense_batch(one.tolist(), two.tolist()), corpus, ids, k))
 
     return rank
 
@@ -65,24 +51,35 @@ def _text_ranker(corpus: np.ndarray, ids: list[str], k: int):
 def _vector_ranker(corpus: np.ndarray, ids: list[str], k: int):
     @F.pandas_udf(MATCHES)
     def rank(vector: pd.Series) -> pd.Series:
-        return pd.Series(_best(_unit(np.stack(vector.to_list()).astype(float)), corpus, ids, k))
+        rows, fits = cells.unit_rows(vector.tolist(), corpus.shape[1])
+        return _listed([m if ok else [] for m, ok in zip(cells.best(rows, corpus, ids, k), fits, strict=True)])
 
     return rank
 
 
+def _large(queries: DataFrame, corpus: DataFrame, k: int, make) -> DataFrame:
+    """Queries with ``_found``, their matches in a corpus too large to ship; ``make`` adds unit vectors to rows as ``vector``."""
+    some = corpus.orderBy(F.xxhash64("corpus_id")).limit(cells.SAMPLE)
+    index = cells.build(make(corpus).select("corpus_id", "vector"), make(some), k)
+    with_key = make(queries).withColumn("query_key", cells.query_key())
+    found = cells.search(with_key, index, k)
+    listed = found.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct("rank", "match_id", "similarity"))).alias("_l"))
+    matches = F.transform("_l", lambda m: F.struct(m["match_id"].cast("string").alias("match_id"), m["similarity"].alias("similarity")))
+    return with_key.join(listed.select("query_key", matches.alias("_found")), "query_key", "left").drop("query_key", "vector")
+
+
 def with_matches(queries: DataFrame, id_col: str, text_col: str, corpus: DataFrame, k: int, out: str) -> DataFrame:
     """Add the ``k`` best corpus items of each text as an array.
 
     Corpus columns: corpus_id, text. Within the limit this is row-local; a
-    larger corpus goes through ``top_k`` and the matches join back by id.
+    larger corpus is searched by cells and the matches join back by vector.
     """
-    rows = bounded_rows(embed(corpus.select("corpus_id", "text")).orderBy("corpus_id"), MAX_CORPUS)
+    corpus = corpus.select("corpus_id", "text").where("corpus_id IS NOT NULL")
+    rows = bounded_rows(embed(corpus).orderBy("corpus_id"), MAX_CORPUS)
     if rows is None:
-        found = top_k(queries.select(id_col, F.col(text_col).alias("text")), id_col, corpus, k)
-        listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "match_id", "similarity"))).alias("_m"))
-        matches = F.transform("_m", lambda m: F.struct(m["match_id"].alias("match_id"), m["similarity"].alias("similarity")))
-        joined = queries.join(listed.select(id_col, matches.alias(out)), id_col, "left")
-        return joined.withColumn(out, F.coalesce(out, F.array().cast(MATCHES)))
+        plain = queries.withColumn("_text", F.col(text_col))
+        joined = _large(plain, corpus.withColumnRenamed("text", "_text"), k, lambda df: embed(df, "_text", "vector")).drop("_text")
+        return joined.withColumn(out, F.coalesce("_found", F.array().cast(MATCHES))).drop("_found")
     if not rows:
         return queries.withColumn(out, F.array().cast(MATCHES))
     matrix = np.array([r["vector"] for r in rows], dtype=float)
@@ -99,72 +96,34 @@ def top_k(queries: DataFrame, id_col: str, corpus: DataFrame, k: int = 3, vector
 
     Corpus columns: corpus_id and text, or corpus_id and vector.
     """
+    named = corpus.where("corpus_id IS NOT NULL")
     if vector_col is None:
-        q = embed(queries.select(id_col, "text")).select(id_col, "vector")
-        c = embed(corpus.select("corpus_id", "text")).select("corpus_id", "vector")
+        q, c = queries.select(id_col, "text"), named.select("corpus_id", "text")
+        make, dims = embed, vectors.DIMS
     else:
         q = queries.select(id_col, F.col(vector_col).cast("array<double>").alias("vector"))
-        c = corpus.select("corpus_id", F.col("vector").cast("array<double>"))
-    rows = bounded_rows(c.orderBy("corpus_id"), MAX_CORPUS)
+        c = named.select("corpus_id", F.col("vector").cast("array<double>").alias("vector"))
+        dims = cells.usual_length(c)
+
+        def make(df: DataFrame) -> DataFrame:
+            return cells.with_units(df, dims)
+
+    rows = bounded_rows(make(c).select("corpus_id", "vector").orderBy("corpus_id"), MAX_CORPUS)
     if rows is None:
-        return _blocked_top_k(q, id_col, c, k)
-    if not rows:
+        scored = _large(q, c, k, make).select(id_col, F.col("_found").alias("m"))
+    elif not rows:
         return q.select(id_col, F.lit(1).alias("rank"), F.lit("").alias("match_id"), F.lit(0.0).alias("similarity")).limit(0)
-    matrix, ids = _unit(np.array([r["vector"] for r in rows], dtype=float)), [str(r["corpus_id"]) for r in rows]
-    if vector_col is None:
-        scored = vectors.with_buckets(queries.select(id_col, "text"), F.col("text"), "_b").select(
-            id_col, _text_ranker(matrix, ids, k)("_b.one", "_b.two").alias("m")
-        )
     else:
-        scored = q.select(id_col, _vector_ranker(matrix, ids, k)("vector").alias("m"))
+        matrix, ids = np.array([r["vector"] for r in rows], dtype=float).reshape(-1, dims), [str(r["corpus_id"]) for r in rows]
+        if vector_col is None:
+            scored = vectors.with_buckets(q, F.col("text"), "_b").select(id_col, _text_ranker(matrix, ids, k)("_b.one", "_b.two").alias("m"))
+        else:
+            scored = q.select(id_col, _vector_ranker(matrix, ids, k)("vector").alias("m"))
     return spread(scored, [id_col], "m", "match", "p").select(
         id_col, (F.col("p") + 1).alias("rank"), "match.match_id", "match.similarity"
     )
 
 
-def _blocked_top_k(queries: DataFrame, id_col: str, corpus: DataFrame, k: int) -> DataFrame:
-    """Top-k against a corpus too large to ship: bounded query and corpus groups meet by key."""
-    n_blocks = max(1, math.ceil(corpus.count() / MAX_CORPUS))
-    n_slices = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    every_block = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    every_slice = F.sequence(F.lit(0), F.lit(n_slices - 1))
-    q = queries.withColumn("slice", F.pmod(F.xxhash64(id_col), F.lit(n_slices)).cast("int")).withColumn(
-        "block", F.explode(every_block)
-    )
-    c = corpus.withColumn("block", F.pmod(F.xxhash64("corpus_id"), F.lit(n_blocks)).cast("int")).withColumn(
-        "slice", F.explode(every_slice)
-    )
-    id_type = queries.schema[id_col].dataType.simpleString()
-    match_type = corpus.schema["corpus_id"].dataType.simpleString()
-
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({id_col: [], "match_id": [], "similarity": []})
-        right = right.sort_values("corpus_id")
-        found = _best(
-            _unit(np.stack(left["vector"].to_list())),
-            _unit(np.stack(right["vector"].to_list())),
-            list(right["corpus_id"]),
-            k,
-        )
-        return pd.DataFrame(
-            [(q_id, m["match_id"], m["similarity"]) for q_id, ms in zip(left[id_col], found, strict=True) for m in ms],
-            columns=[id_col, "match_id", "similarity"],
-        )
-
-    partial = (
-        q.groupBy("block", "slice")
-        .cogroup(c.groupBy("block", "slice"))
-        .applyInPandas(rank, f"{id_col} {id_type}, match_id {match_type}, similarity double")
-    )
-    by_query = Window.partitionBy(id_col).orderBy(F.desc("similarity"), "match_id")
-    return (
-        partial.withColumn("rank", F.row_number().over(by_query))
-        .where(F.col("rank") <= k)
-        .select(id_col, "rank", F.col("match_id").cast("string").alias("match_id"), "similarity")
-    )
-
-
 def max_similarity(matches: Column) -> Column:
     return F.round(F.coalesce(F.try_element_at(matches, F.lit(1))["similarity"], F.lit(0.0)), 4)
 

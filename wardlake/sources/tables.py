@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardlake.session import shared_folder
+
 _SPLITS: dict[tuple[str, str, int], int] = {}
 
 
@@ -23,3 +25,10 @@ def texts(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
     if place not in _SPLITS:
         _SPLITS[place] = df.rdd.getNumPartitions()
     return df.repartition(cores, *keys) if _SPLITS[place] < cores else df
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written to the folder that all executors share and read back: later steps read them again instead of computing them."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
