@@ -9,6 +9,8 @@ the same as with the plain window, and a key that holds most rows is spread.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +75,20 @@ def previous(
         )
         .drop("_chunk", "_carried")
     )
+
+
+def last_known(df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """The newest non-null ``value`` of the key up to each row; rows with null keys or a null chunk stay."""
+    work = df.withColumn("_chunk", chunk)
+    chunk_keys = [*keys, "_chunk"]
+    place = F.struct(*order)
+    tails = work.groupBy(*chunk_keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("_tail"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*[F.col(c).alias(f"_of_{c}") for c in chunk_keys], F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*chunk_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in chunk_keys])
+    return (
+        work.join(carried, same)
+        .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")))
+        .drop("_chunk", "_carried", *[f"_of_{c}" for c in chunk_keys])
+    )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
@@ -49,6 +53,25 @@ def train(samples: DataFrame, regs: tuple[float, ...] = (0.01, 0.1)) -> tuple[Pi
     return model, {"val_f1": f1, "reg_param": reg, "positive_weight": weight}
 
 
+def cross_validate(samples: DataFrame, reg: float = 0.01, parallelism: int = 2) -> DataFrame:
+    """Measures of each fold by a model that was fitted without it (fold, tp, fp, ..., f1).
+
+    Samples: text, label, fold. Words, document frequencies and class weights are learned anew for every fold from
+    the other folds alone. Folds are fitted side by side; one row per fold reaches the driver.
+    """
+    numbers = sorted(r["fold"] for r in samples.select("fold").distinct().collect())
+
+    def held_out(fold: int) -> DataFrame:
+        rest = samples.where(F.col("fold") != fold)
+        weight = datasets.class_weight(rest).first()["positive_weight"]
+        weighted = rest.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
+        return score(pipeline(reg).fit(weighted), samples.where(F.col("fold") == fold))
+
+    with ThreadPool(parallelism) as pool:
+        judged = pool.map(inheritable_thread_target(samples.sparkSession)(held_out), numbers)
+    return metrics.confusion(reduce(DataFrame.unionByName, judged), ["fold"], "probability_1")
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``probability_1``: the model's probability of class 1."""
     keep = [c for c in df.columns]

@@ -46,6 +46,24 @@ def latest(df: DataFrame, key: str, version: str = "version", status: str | None
     return picked.where(F.col("status") == status) if status else picked
 
 
+def as_of(events: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str, tie: str, out: str = "known") -> DataFrame:
+    """Every event with ``out``, the version of its key that was in force at its own time.
+
+    That is the newest version whose ``since`` is not after ``at``; of several at one moment the one with the largest
+    ``tie``. ``out`` holds all columns of ``versions``; it is null for events before the first version and for events
+    with a null key or time. Versions with a null key or time are never in force. Both tables are cut into minutes
+    and one row per key and minute carries the version on, so a key with most of the events is spread.
+    """
+    known = versions.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in [*keys, since]]))
+    event, version = F.struct(*events.columns), F.struct(*versions.columns)
+    left = events.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(versions.schema[tie].dataType).alias("_tie"),
+                         event.alias("_event"), F.lit(None).cast(known.select(version.alias("v")).schema["v"].dataType).alias("_known"))
+    right = known.select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"),
+                         F.lit(None).cast(events.select(event.alias("e")).schema["e"].dataType).alias("_event"), version.alias("_known"))
+    carried = ordered.last_known(left.unionByName(right), keys, ordered.minute_chunk(F.col("_at")), ["_at", "_side", "_tie"], "_known", "_in_force")
+    return carried.where("_side = 1").select("_event.*", F.col("_in_force").alias(out))
+
+
 def history(df: DataFrame, key: str, value, version: str = "version") -> DataFrame:
     """All versions of one key, newest first."""
     return df.where(F.col(key) == value).orderBy(F.desc(version))

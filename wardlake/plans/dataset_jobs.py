@@ -16,7 +16,7 @@ from wardlake.plans.governance import guard
 from wardlake.plans.inputs import pick, pick_sql
 from wardlake.plans.text_jobs import LABELLED, labelled
 from wardlake.session import shared_folder
-from wardlake.sources.tables import table
+from wardlake.sources.tables import stored, table
 
 BOUNDS = {"documents": datasets.LENGTHS["jailbreak"], "conversations": datasets.LENGTHS["toxicity"]}
 CLEANED = f"""{LABELLED}, cleaned AS (SELECT sample_id, {sql.clean('text')} AS text, label, source FROM labelled),
@@ -208,6 +208,15 @@ def kfold_cv(spark: SparkSession, sf: str) -> DataFrame:
     return summary
 
 
+@query("kfold_train")
+def kfold_train(spark: SparkSession, sf: str) -> DataFrame:
+    """A classifier fitted anew for each of five folds: mean and deviation of the held-out measures."""
+    placed = datasets.folds(pool_index(spark, sf)).select("sample_id", "fold", "label")
+    samples = stored(pool(spark, sf).select("sample_id", "text").join(placed, "sample_id"), "folds")
+    summary = metrics.fold_summary(_rounded(model.cross_validate(samples)))
+    return summary.select("n_folds", *[F.round(c, 6).alias(c) for c in summary.columns if c != "n_folds"])
+
+
 def training_table(spark: SparkSession, sf: str) -> DataFrame:
     """The split samples, written once: training reads them many times."""
     rows = pool(spark, sf).select("sample_id", "text")

@@ -128,6 +128,32 @@ def config_resolve(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def threshold_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of block thresholds over time: one version of a use case's threshold per signup event."""
+    changed = inputs.events(spark, sf).where("event_type = 'signup'")
+    return changed.select(
+        pick(F.col("event_id"), inputs.CASES).alias("use_case"), F.col("event_id").alias("version_id"), F.col("ts").alias("since"),
+        (F.lit(0.2) + (F.col("event_id") % 60) / 100).alias("block_threshold"),
+    )
+
+
+@query(
+    "policy_as_of",
+    f"""WITH {inputs.AUDIT}, v AS (SELECT {pick_sql('event_id', inputs.CASES)} AS use_case, event_id AS version_id, ts AS since, 0.2::DOUBLE + (event_id % 60) / 100.0::DOUBLE AS block_threshold FROM events WHERE event_type = 'signup')
+    SELECT a.event_id, v.version_id, round(coalesce(block_threshold, 0.8), 6) AS block_threshold,
+      CASE WHEN (a.latency_ms / 400)::DOUBLE >= coalesce(block_threshold, 0.8) THEN 'block' ELSE 'allow' END AS replayed
+    FROM audit a ASOF LEFT JOIN v ON a.use_case = v.use_case AND a.created_at >= v.since""",
+)
+def policy_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Replay: every audit event judged by the threshold in force at its own time, not by the newest one."""
+    judged = registry.as_of(inputs.audit_events(spark, sf), threshold_versions(spark, sf), ["use_case"], "created_at", "since", "version_id")
+    limit = F.coalesce("known.block_threshold", F.lit(0.8))
+    return judged.select(
+        "event_id", F.col("known.version_id").alias("version_id"), F.round(limit, 6).alias("block_threshold"),
+        F.when(F.col("latency_ms") / 400 >= limit, "block").otherwise("allow").alias("replayed"),
+    )
+
+
 def vault_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Entities of documents as vault placeholders, numbered by position."""
     found = pii.detect(inputs.probed(spark, sf), "doc_id")

@@ -10,10 +10,11 @@ from wardlake.functions import text
 from wardlake.functions.rows import spread
 from wardlake.operators import datasets, envelopes, normalize, policy, registry
 from wardlake.plans import inputs, sql
-from wardlake.plans.catalog import query
+from wardlake.plans.catalog import CHECKS, query
 from wardlake.plans.inputs import pick, pick_sql
 from wardlake.plans.policy_sql import DECIDED
-from wardlake.sources import policies
+from wardlake.session import shared_folder
+from wardlake.sources import audit, policies
 from wardlake.sources.tables import table
 
 HEADERS = ("INTERNAL_COPILOT", "bogus", None, None, None)
@@ -92,6 +93,22 @@ def audit_append(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("audit_commit", CHECKS["audit_append"])
+def audit_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit table after two batches, a repeat of the first, and an attempt that never committed: each event once."""
+    events = envelopes.audit_events(event_decisions(spark, sf))
+    path = shared_folder(spark, "audit")
+    parts = {name: events.where(F.col("direction") == name) for name in ("input", "output")}
+    for name in ("input", "output", "input"):
+        audit.commit(parts[name], path, f"day-1:{name}")
+    audit.append(audit.committed(spark, path).where("direction = 'input'"), f"{path}/events/attempt=died")
+    out = audit.committed(spark, path)
+    return out.select(
+        "interaction_id", "session_id", "direction", "use_case", "geography", "envelope", "decision_action", "policy_version",
+        inputs.stamp("created_at"), F.col("event_date").cast("string").alias("event_date"),
+    )
+
+
 def stored_events(spark: SparkSession, sf: str) -> DataFrame:
     """Audit events with an envelope as JSON text; parts of it are missing in places."""
     ev = inputs.audit_events(spark, sf)
