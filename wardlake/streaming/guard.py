@@ -36,9 +36,14 @@ def run(requests: DataFrame, events_path: str, queue_path: str, rules_table: Dat
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        decided = guard(batch, "interaction_id", rules_table=rules_table)
-        audit_rows(decided).write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        review_rows(decided).withColumn("seq", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{queue_path}/batch={batch_id}")
+        # One file is one task: its rows are spread first. Two tables are written from them, so they are judged once and kept.
+        spread = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+        decided = guard(spread, "interaction_id", rules_table=rules_table).persist()
+        try:
+            audit_rows(decided).write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
+            review_rows(decided).withColumn("seq", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{queue_path}/batch={batch_id}")
+        finally:
+            decided.unpersist()
 
     drain_each(requests, "guard", step)
 

@@ -14,10 +14,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table's Parquet files as a stream; timestamps become instants for watermarks."""
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    """A table's Parquet files as a stream; timestamps become instants for watermarks.
+
+    The table is one file, several whose names begin alike, or a folder of part files.
+    """
+    root = folder.rstrip("/")
+    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{root}/{name}*.parquet")
     return with_instants(df)
 
 

@@ -31,11 +31,11 @@ def leaks(windows: DataFrame, prompts: Column) -> DataFrame:
     return scored.select(*windows.columns, kind.alias("kind"))
 
 
-def guarded(tokens: DataFrame, state: DataFrame, prompts: Column, batch: int, size: int = WINDOW, keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
+def guarded(tokens: DataFrame, state: DataFrame, prompts: Column, batch: int, size: int = WINDOW, keep: int = KEEP, once: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Tokens (stream_id, seq, token) of a batch up to the first window that leaks, and the state after the batch.
 
     The windows of a stream's tokens are made in its row, from the tail of the batch before and the tokens of this one; the trigger's input
-    limit bounds them.
+    limit bounds them. Both results need the windows that leak, one row per stopped stream: ``once`` may keep them.
     """
     came = tokens.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "token"))).alias("_new"))
     none = F.array().cast("array<struct<seq:int,token:string>>")
@@ -54,8 +54,10 @@ def guarded(tokens: DataFrame, state: DataFrame, prompts: Column, batch: int, si
         return F.struct(F.element_at("_all", end)["seq"].alias("seq"), F.array_join(F.transform(held, lambda x: x["token"]), "").alias("text"))
 
     each = F.when(F.size("_new") > 0, F.transform(F.sequence(F.lit(1), F.size("_new")), window))
-    tried = leaks(spread_structs(rows.where(F.size("_new") > 0), ["stream_id"], each), prompts)
-    hits = tried.where(F.col("kind").isNotNull()).groupBy("stream_id").agg(F.min("seq").alias("_at"), F.min_by("kind", "seq").alias("_kind"))
+    # The rows are few bytes but much work: as many tasks as cores, whatever their size.
+    wide = rows.where(F.size("_new") > 0).repartition(state.sparkSession.sparkContext.defaultParallelism, "stream_id")
+    tried = leaks(spread_structs(wide, ["stream_id"], each), prompts)
+    hits = once(tried.where(F.col("kind").isNotNull()).groupBy("stream_id").agg(F.min("seq").alias("_at"), F.min_by("kind", "seq").alias("_kind")))
     met = rows.join(hits, "stream_id", "left")
     shown = F.filter("_new", lambda x: F.col("_at").isNull() | (x["seq"] <= F.col("_at")))
     out = spread_structs(met.select("stream_id", "_at", "_kind", shown.alias("_shown")), ["stream_id", "_at", "_kind"], "_shown")
@@ -77,8 +79,18 @@ def step(path: str, prompts: Column | None = None, size: int = WINDOW, keep: int
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(STATE).parquet(f"{path}/state/{batch_id - 1}") if batch_id else spark.createDataFrame([], STATE)
-        out, after = guarded(batch, before, prompts, batch_id, size, keep)
-        after.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
-        out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        kept: list[DataFrame] = []
+
+        def once(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return kept[-1]
+
+        out, after = guarded(batch, before, prompts, batch_id, size, keep, once)
+        try:
+            after.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+            out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        finally:
+            for df in kept:
+                df.unpersist()
 
     return run
