@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions import rules, spans
-from wardlake.functions.rows import spread_structs
+from wardlake.functions.rows import settle, spread_structs
 
 MIN_LENGTH = 4
 MIN_SCORE = 0.4
 ENTITY = "array<struct<start:int,end:int,value:string,entity_type:string,score:double>>"
 
 
-def entities(source: str = "text", types: tuple[str, ...] | None = None) -> Column:
+def with_plain(df: DataFrame, source: str = "text") -> DataFrame:
+    """Add ``_plain``: the text with a sign that is no word character for each one beyond ASCII, and for vertical tabs.
+
+    Positions stay as they are and a match holds ASCII alone, so patterns see word edges and spaces as the checking SQL does.
+    The Kelvin sign and the long s are no letters here.
+    """
+    return settle(df.withColumn("_plain", F.regexp_replace(source, r"[^\x00-\x0A\x0C-\x7F]", "\u00B6")))
+
+
+def entities(source: str = "text", types: tuple[str, ...] | None = None, flags: str = rules.UNICODE_NOCASE) -> Column:
     """All entities of the text column ``source`` in pattern order, as an array column."""
     found = []
     for name, score, pattern in fixed.PII_PATTERNS:
@@ -22,17 +31,21 @@ def entities(source: str = "text", types: tuple[str, ...] | None = None) -> Colu
             continue
         needs = f"contains({source}, '@')" if name == "EMAIL_ADDRESS" else f"{source} RLIKE '(?U)\\\\d'"
         extra = f"'entity_type', '{name}', 'score', cast({score} AS double)"
-        found.append(spans.find_spans(source, rules.UNICODE_NOCASE + pattern, name == "US_SSN", needs, extra))
+        found.append(spans.find_spans(source, flags + pattern, name == "US_SSN", needs, extra))
     return F.filter(F.concat(*found), lambda e: e["end"] - e["start"] >= MIN_LENGTH)
 
 
-def with_entities(df: DataFrame, source: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
+def with_entities(df: DataFrame, source: str = "text", types: tuple[str, ...] | None = None, ascii_edges: bool = False) -> DataFrame:
+    """Add ``entities``. A word ends where no letter of any script follows; with ``ascii_edges`` also before a letter beyond ASCII."""
+    if ascii_edges:
+        return with_plain(df, source).withColumn("entities", entities("_plain", types, "(?i)")).drop("_plain")
     return df.withColumn("entities", entities(source, types))
 
 
-def detect(df: DataFrame, id_col: str, source: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
+def detect(df: DataFrame, id_col: str, source: str = "text", types: tuple[str, ...] | None = None, ascii_edges: bool = False) -> DataFrame:
     """One row per entity."""
-    return spread_structs(df, [id_col], entities(source, types)).select(id_col, "entity_type", "start", "end", "value", "score")
+    found = with_entities(df.select(id_col, source), source, types, ascii_edges)
+    return spread_structs(found, [id_col], "entities").select(id_col, "entity_type", "start", "end", "value", "score")
 
 
 def merge(primary: DataFrame, second: DataFrame, id_col: str, max_gap: int = 3) -> DataFrame:
