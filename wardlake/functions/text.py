@@ -88,13 +88,20 @@ def url_payload(text: Column) -> Column:
     )
 
 
-def base64_payloads(text: Column) -> Column:
-    """Readable contents of the base64 tokens (12 characters or more) of a text."""
+def base64_payloads(text: Column, whole: bool = False) -> Column:
+    """Readable contents of the base64 tokens (12 characters or more) of a text.
+
+    Bytes that are no text are left out of a payload; with ``whole`` a payload that holds any is left out.
+    """
     tokens = F.regexp_extract_all(
         text, F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z0-9][A-Za-z0-9+/]{11,}={0,2}(?![\p{L}\p{N}_])"), F.lit(0)
     )
+    def fits(t: Column) -> Column:
+        even = F.length(t) % 4 == 0
+        return even & F.coalesce(F.is_valid_utf8(F.try_to_binary(t, F.lit("base64")).cast("string")), F.lit(False)) if whole else even
+
     readable = F.transform(
-        F.filter(tokens, lambda t: F.length(t) % 4 == 0),
+        F.filter(tokens, fits),
         lambda t: strip(
             F.replace(F.make_valid_utf8(F.try_to_binary(t, F.lit("base64")).cast("string")), F.lit("\uFFFD"), F.lit(""))
         ),
@@ -102,17 +109,19 @@ def base64_payloads(text: Column) -> Column:
     return F.filter(readable, lambda t: t.rlike(r"\p{L}") & (F.length(t) > 2))
 
 
-def decoded_payloads(text: Column) -> Column:
-    return F.concat(F.array_compact(F.array(url_payload(text))), base64_payloads(text))
+def decoded_payloads(text: Column, whole: bool = False) -> Column:
+    return F.concat(F.array_compact(F.array(url_payload(text))), base64_payloads(text, whole))
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def with_variants(df: DataFrame, text: str = "text", decoded: bool = True) -> DataFrame:
+def with_variants(df: DataFrame, text: str = "text", decoded: bool = True, whole: bool = False) -> DataFrame:
     """Add canonical, leet, compressed (all lower case) and decoded forms of a text column.
 
+    ``whole`` decodes only payloads that are text in full, as the checking SQL does; the guard reads the others too.
+
     Each step is its own projection, so a form that feeds several others is
     computed once and not inlined into each of them.
     """
@@ -125,7 +134,7 @@ def with_variants(df: DataFrame, text: str = "text", decoded: bool = True) -> Da
         F.lower("_stripped").alias("canonical"),
         F.lower("_leet").alias("leet"),
         F.lower(compress_repeats(F.col("_leet"))).alias("compressed"),
-        *([decoded_payloads(source).alias("decoded")] if decoded else []),
+        *([decoded_payloads(source, whole).alias("decoded")] if decoded else []),
     )
     return settle(out)
 

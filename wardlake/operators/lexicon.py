@@ -109,9 +109,9 @@ def score(severe: Column, moderate: Column, mild: Column) -> Column:
     )
 
 
-def scan(df: DataFrame, text_col: str = "text", tiers: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """Add tier hits and ``lexicon_score`` to a table of texts."""
-    wide = with_hits(with_scan_text(text.with_variants(df, text_col)), tiers=tiers, raw=text_col)
+def scan(df: DataFrame, text_col: str = "text", tiers: Mapping[str, list[str]] | None = None, whole: bool = False) -> DataFrame:
+    """Add tier hits and ``lexicon_score`` to a table of texts; ``whole`` as in ``text.with_variants``."""
+    wide = with_hits(with_scan_text(text.with_variants(df, text_col, whole=whole)), tiers=tiers, raw=text_col)
     return wide.withColumn("lexicon_score", score(F.col("severe"), F.col("moderate"), F.col("mild"))).drop("scan_text")
 
 

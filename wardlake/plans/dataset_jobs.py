@@ -143,7 +143,7 @@ SCORED = f"""src AS (SELECT doc_id, text, toxic AS label FROM documents JOIN lab
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents with their lexicon score."""
     docs = inputs.documents(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
-    return lexicon.scan(docs).select("doc_id", F.col("toxic").alias("label"), F.col("lexicon_score").alias("score"))
+    return lexicon.scan(docs, whole=True).select("doc_id", F.col("toxic").alias("label"), F.col("lexicon_score").alias("score"))
 
 
 def _measures(source: str, keys: str = "") -> str:
