@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions.ordered import running_sum
+from wardlake.sources.tables import stored
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -68,9 +69,10 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
     """Area under the ROC curve by rank sums over the exact scores; 1.0 when a class is missing.
 
     Scores are counted per distinct value first; running counts go by chunks of the score, so no task
-    meets all of them.
+    meets all of them. The counts are read twice, so they are stored: the scores are computed once.
     """
     per_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    per_score = stored(per_score, "scores")
     wins = running_sum(per_score, [], F.floor(F.col("s") * 4096), [F.col("s")], F.col("n"), "below", before=True)
     total = wins.agg(
         F.sum(F.col("p") * (F.col("below") + F.col("n") * 0.5)).alias("won"), F.sum("p").alias("pos"), F.sum("n").alias("neg")
