@@ -327,7 +327,8 @@ def scenarios(spark: SparkSession, sf: str) -> DataFrame:
     FROM {sql.values([(n, e) for n, e, *_ in SCENARIOS], "name, expected", "s")} s, (SELECT DISTINCT conv_id FROM conversations) GROUP BY ALL""",
 )
 def scenario_regression(spark: SparkSession, sf: str) -> DataFrame:
-    decided = guard(scenarios(spark, sf), "interaction_id")
-    return decided.groupBy("name", "expected").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == F.col("expected")).alias("n_as_expected"), F.min("action").alias("action")
-    )
+    """Outcome of every scenario of every conversation. A decision follows from the request's fields, so equal requests are judged once and counted."""
+    asked = scenarios(spark, sf).groupBy("name", "expected", "text", "use_case", "geography", "declared").agg(F.count(F.lit(1)).alias("n"))
+    decided = guard(asked.withColumn("interaction_id", F.col("name")), "interaction_id")
+    as_expected = F.when(F.col("action") == F.col("expected"), F.col("n")).otherwise(F.lit(0))
+    return decided.groupBy("name", "expected").agg(F.sum("n").alias("n"), F.sum(as_expected).alias("n_as_expected"), F.min("action").alias("action"))
