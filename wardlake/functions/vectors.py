@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -41,25 +44,49 @@ def with_buckets(
     ).drop("_w", "_kept")
 
 
-def dense_batch(one: list, two: list, dims: int = DIMS) -> np.ndarray:
-    """Unit vectors of a batch, one row per text; a text without words stays zero."""
+#: Dense rows made at a time: what a task of Python holds follows this, not the rows of an Arrow batch.
+BLOCK_ROWS = 1024
+
+
+def sizes(lists: pa.Array) -> np.ndarray:
+    """Lengths of lists; null ones have none."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def dense_batch(one: pa.Array, two: pa.Array, dims: int = DIMS) -> np.ndarray:
+    """Unit vectors of lists of bucket numbers, one row per text; a text without words stays zero."""
     out = np.zeros((len(one), dims))
     for lists, weight in ((one, WORD_WEIGHT), (two, PAIR_WEIGHT)):
-        lengths = np.fromiter((0 if x is None else len(x) for x in lists), dtype=np.int64, count=len(lists))
+        lengths = sizes(lists)
         if lengths.sum():
             rows = np.repeat(np.arange(len(lists)), lengths)
-            cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists if x is not None and len(x)])
-            np.add.at(out, (rows, cols), weight)
+            cols = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            out += weight * np.bincount(rows * dims + cols, minlength=out.size).reshape(out.shape)
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norms > 0, norms, 1.0)
 
 
+def dense_blocks(one: pa.Array, two: pa.Array, dims: int = DIMS) -> Iterator[np.ndarray]:
+    """``dense_batch`` in blocks of bounded size."""
+    for lo in range(0, len(one), BLOCK_ROWS):
+        yield dense_batch(one.slice(lo, BLOCK_ROWS), two.slice(lo, BLOCK_ROWS), dims)
+
+
+def listed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def joined(parts: list, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+
+
 def dense_vector(buckets: Column, dims: int = DIMS) -> Column:
     """The text's unit vector as ``array<double>``."""
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def to_dense(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series(list(dense_batch(one.tolist(), two.tolist(), dims)))
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def to_dense(one: pa.Array, two: pa.Array) -> pa.Array:
+        return joined([listed(rows) for rows in dense_blocks(one, two, dims)], pa.list_(pa.float64()))
 
     return to_dense(buckets["one"], buckets["two"])
 

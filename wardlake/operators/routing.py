@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions import rules, text, vectors
-from wardlake.functions.rows import spread_structs
+from wardlake.functions.rows import settle, spread_structs
 from wardlake.operators import similarity
 from wardlake.session import bounded_rows
 
@@ -84,15 +84,17 @@ def index_endpoints(endpoints: DataFrame) -> DataFrame:
 
 
 def _dense_scorer(primary: np.ndarray, exemplars: list[np.ndarray]):
-    @F.pandas_udf("array<double>")
-    def score(one: pd.Series, two: pd.Series) -> pd.Series:
-        queries = vectors.dense_batch(one.tolist(), two.tolist())
+    def scores(queries: np.ndarray) -> np.ndarray:
         columns = []
         for i, samples in enumerate(exemplars):
             first = queries @ primary[i]
             ranked = -np.sort(-(queries @ samples.T), axis=1)[:, :3]
             columns.append(0.30 * first + 0.50 * ranked[:, 0] + 0.20 * ranked.mean(axis=1))
-        return pd.Series(list(np.stack(columns, axis=1)))
+        return np.stack(columns, axis=1)
+
+    @F.arrow_udf("array<double>")
+    def score(one: pa.Array, two: pa.Array) -> pa.Array:
+        return vectors.joined([vectors.listed(scores(rows)) for rows in vectors.dense_blocks(one, two)], pa.list_(pa.float64()))
 
     return score
 
@@ -141,7 +143,7 @@ def with_ranking(queries: DataFrame, endpoints: DataFrame, prompt: str = "text")
     )
     found = intents(F.col(prompt), F.col("_q"))
     flags = F.create_map(*[x for eid, flag in found.items() for x in (F.lit(eid), F.coalesce(flag, F.lit(False)))])
-    df = df.withColumn("_intents", flags)
+    df = settle(df.withColumn("_intents", flags))
     none = ~F.array_contains(F.map_values("_intents"), True)
 
     def scored(e: Column, i: Column) -> Column:
@@ -168,6 +170,7 @@ def with_ranking(queries: DataFrame, endpoints: DataFrame, prompt: str = "text")
             lambda a, b: F.when(a["raw"] > b["raw"], -1).when(a["raw"] < b["raw"], 1).otherwise(a["position"] - b["position"]),
         ),
     )
+    df = settle(df)
     top = F.col("_raw")[0]["raw"]
 
     def calibrated(e: Column, i: Column) -> Column:
@@ -183,7 +186,8 @@ def with_ranking(queries: DataFrame, endpoints: DataFrame, prompt: str = "text")
 
     blank = F.col("_q") == ""
     ranked = F.transform("_raw", calibrated)
-    return df.withColumn("ranking", F.when(~blank, ranked).otherwise(F.slice(ranked, 1, 0))).drop(
+    # A filter on the ranking must not take all of the above below itself, into one expression.
+    return settle(df.withColumn("ranking", F.when(~blank, ranked).otherwise(F.slice(ranked, 1, 0)))).drop(
         "_q", "_b", "_dense", "_words", "_intents", "_raw"
     )
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,12 @@ def _listed(found: list[list[tuple]]) -> pd.Series:
 
 
 def _text_ranker(corpus: np.ndarray, ids: list[str], k: int):
-    @F.pandas_udf(MATCHES)
-    def rank(one: pd.Series, two: pd.Series) -> pd.Series:
-        return _listed(cells.best(vectors.dense_batch(one.tolist(), two.tolist()), corpus, ids, k))
+    kind = pa.list_(pa.struct([("match_id", pa.string()), ("similarity", pa.float64())]))
+
+    @F.arrow_udf(MATCHES)
+    def rank(one: pa.Array, two: pa.Array) -> pa.Array:
+        found = (cells.best(rows, corpus, ids, k) for rows in vectors.dense_blocks(one, two))
+        return vectors.joined([pa.array([[{"match_id": i, "similarity": s} for i, s in m] for m in block], kind) for block in found], kind)
 
     return rank
 
