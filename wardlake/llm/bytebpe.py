@@ -9,6 +9,7 @@ breaks; the last white space before another character is a segment of its own, a
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -36,28 +37,24 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
-def blank_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of texts, and blanks with a character other than white space before or after them."""
-    kind = _CLASS[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = (kind[:-1] == _WORD) | (kind[:-1] == _MARK)
-    after = np.zeros(len(data), bool)
-    after[:-1] = (kind[1:] > 0) & (kind[1:] != _BREAK)
-    last = offsets[1:] - 1
-    after[last[last >= 0]] = False
-    return np.flatnonzero(((data == 0x20) & (before | after)) | text_starts(data, offsets))
-
-
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """These, and places between letters, punctuation and line breaks at which words of the pattern always end."""
+    """Starts of texts, blanks with a character other than white space before or after them, and places between
+    letters, punctuation and line breaks at which words of the pattern always end."""
     kind = _CLASS[data]
     here, past = kind[1:], kind[:-1]
-    more = ((here == _MARK) | (here == _BREAK)) & (past == _WORD) | (here == _BREAK) & (past == _MARK)
-    more |= (here == _WORD) & (past == _MARK) & (data[:-1] != 0x27)
-    last = (here > 0) & (here != _BREAK) & (past == _BREAK)
+    word, mark, gap = here == _WORD, here == _MARK, here == _BREAK
+    past_word, past_mark, past_gap = past == _WORD, past == _MARK, past == _BREAK
+    solid = (here > 0) & ~gap
+    begin = text_starts(data, offsets)
+    blank = data == 0x20
+    out = begin.copy()
+    out[1:] |= blank[1:] & (past_word | past_mark)
+    out[:-1] |= blank[:-1] & solid & ~begin[1:]
+    last = solid & past_gap
+    out[1:] |= (mark | gap) & past_word | gap & past_mark | word & past_mark & (data[:-1] != 0x27) | last
     # The pattern gives the last break of a run as a word of its own, unless the text ends with it.
-    alone = np.flatnonzero(last & ~text_starts(data, offsets)[1:])
-    return np.unique(np.concatenate([np.flatnonzero(more | last) + 1, alone, blank_cuts(data, offsets)]))
+    out[:-1] |= last & ~begin[1:]
+    return np.flatnonzero(out)
 
 
 class Encoder:
@@ -71,6 +68,9 @@ class Encoder:
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.added_bytes = [a.encode() for a in self.added]
+        # ASCII letters, perhaps after one blank, are one word of the pattern; no special token hides in them.
+        plain = not any(a.removeprefix(" ").isalpha() or a == " " for a in self.added)
+        self.word = re.compile(rb" ?[A-Za-z]+").fullmatch if plain else lambda s: None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.dictionary = Dictionary(self.encode, self.cut, self.dtype)
 
@@ -80,8 +80,15 @@ class Encoder:
             return np.unique(offsets[:-1][np.diff(offsets) > 0])
         return cuts(data, offsets)
 
-    def encode(self, segments: list[bytes]) -> list[np.ndarray]:
-        return [np.array(self._ids(s), self.dtype) for s in segments]
+    def encode(self, segments: list[bytes]) -> list[list[int]]:
+        merge, word = self.model.tokenize, self.word
+        out = []
+        for s in segments:
+            if word(s):
+                out.append([t.id for t in merge(s.decode("ascii").replace(" ", self.letters[0x20]))])
+            else:
+                out.append(self._ids(s))
+        return out
 
     def _ids(self, segment: bytes) -> list[int]:
         text = segment.decode("utf-8", "replace")
