@@ -10,6 +10,9 @@ from wardlake.functions.rows import settle, spread, spread_structs
 from wardlake.operators import analytics, leakage
 
 WINDOW = 30
+TOKEN = r"\s*\S+"
+#: Ids shared by several texts that are sent to every task; more are joined by shuffling the texts.
+MAX_SHARED = 100_000
 
 
 def windowed_rates(events: DataFrame, width: str = "60 seconds", delay: str = "10 minutes", watermark: bool = True) -> DataFrame:
@@ -54,7 +57,7 @@ def live_vault(entries: DataFrame, ttl: str = "600 seconds") -> DataFrame:
 
 def tokens(df: DataFrame, id_col: str, source: str = "text") -> DataFrame:
     """Texts as token streams: (id, seq, token), separators kept so that tokens join back to the text."""
-    parts = F.regexp_extract_all(F.col(source), F.lit(r"\s*\S+"), F.lit(0))
+    parts = F.regexp_extract_all(F.col(source), F.lit(TOKEN), F.lit(0))
     return spread(df, [id_col], parts, "token", "seq")
 
 
@@ -97,8 +100,47 @@ def guard_tokens(stream_tokens: DataFrame, id_col: str, markers: tuple[str, ...]
     found = spread_structs(blocks, [id_col], stops)
     first = found.groupBy(id_col).agg(F.min("seq").alias("_at"), F.min_by("kind", "seq").alias("_kind"))
     out = stream_tokens.join(first, id_col, "left").where(F.col("_at").isNull() | (F.col("seq") <= F.col("_at")))
+    return _stopped(out, id_col)
+
+
+def _stopped(out: DataFrame, id_col: str) -> DataFrame:
     hit = F.col("seq") == F.col("_at")
     return out.select(
         id_col, "seq", F.when(hit, F.concat(F.lit(" [BLOCKED: "), F.upper("_kind"), F.lit("]"))).otherwise(F.col("token")).alias("content"),
         F.when(hit, "content_filter").alias("finish_reason"),
     )
+
+
+def guard_texts(texts: DataFrame, id_col: str, markers: tuple[str, ...], source: str = "text", size: int = WINDOW) -> DataFrame:
+    """As ``guard_tokens`` over the tokens of texts, judged in the row of the text: no token is shuffled.
+
+    Rows that share an id are one stream, whose tokens come in turn; they go by ``guard_tokens``. Only ids are
+    counted to find them. As there, texts without an id are not judged.
+    """
+    texts = texts.select(id_col, F.col(source).alias("text"))
+    shared = texts.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    few = shared.limit(MAX_SHARED + 1).count()
+    if not few:
+        return _guard_rows(texts, id_col, markers, size)
+    shared = F.broadcast(shared) if few <= MAX_SHARED else shared
+    one = _guard_rows(texts.join(shared, id_col, "left_anti"), id_col, markers, size)
+    several = tokens(texts.join(shared, id_col, "left_semi"), id_col)
+    return one.unionByName(guard_tokens(several, id_col, markers, size))
+
+
+def _guard_rows(texts: DataFrame, id_col: str, markers: tuple[str, ...], size: int) -> DataFrame:
+    rows = settle(texts.select(id_col, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t")))
+    numbers = F.when(F.col(id_col).isNotNull() & (F.size("t") > 0), F.sequence(F.lit(1), F.size("t")))
+    rows = settle(rows.withColumn("_places", F.filter(numbers, lambda i: F.element_at("t", i).rlike(ENDINGS))))
+
+    def tried(i: Column) -> Column:
+        first = F.greatest(i - (size - 1), F.lit(1))
+        return F.struct((i - 1).alias("seq"), _stop_kind(F.array_join(F.slice("t", first, i - first + 1), ""), markers).alias("kind"))
+
+    none = F.struct(F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("kind"))
+    first = F.aggregate("_places", none, lambda found, i: F.when(found["kind"].isNotNull(), found).otherwise(tried(i)))
+    rows = settle(rows.withColumn("_first", first))
+    kind = F.col("_first.kind")
+    rows = rows.select(id_col, "t", kind.alias("_kind"), F.when(kind.isNotNull(), F.col("_first.seq")).alias("_at"))
+    said = F.when(F.col("_at").isNull(), F.col("t")).otherwise(F.slice("t", F.lit(1), F.col("_at") + 1))
+    return _stopped(spread(rows, [id_col, "_at", "_kind"], said, "token", "seq"), id_col)
