@@ -50,6 +50,18 @@ def entropy_bits(token: Column) -> Column:
     )
 
 
+def most_bits(found: Column) -> Column:
+    """The greatest entropy of an array's tokens, 0 if there is none.
+
+    A token of n characters has at most log2(n) bits, so most need not be counted; the margin is for rounding.
+    """
+    return F.aggregate(
+        found,
+        F.lit(0.0),
+        lambda top, t: F.when(F.log2(F.length(t)) + 1e-9 > top, F.greatest(top, entropy_bits(t))).otherwise(top),
+    )
+
+
 def is_jwt(token: Column) -> Column:
     """Three base64url parts whose first decodes to a JSON object with an ``alg``."""
     head = F.translate(F.split_part(token, F.lit("."), F.lit(1)), "-_", "+/")
@@ -81,7 +93,7 @@ def with_secret_scan(df: DataFrame, source: str = "text") -> DataFrame:
         F.when(F.col("_jwt"), F.lit(1.0)).otherwise(F.lit(0.0)),
     )
     df = df.withColumn("secret_names", F.array_sort(names)).withColumn("_found", found)
-    top = F.array_max(F.transform(F.filter("_tokens", lambda t: F.length(t) > 3), entropy_bits))
+    top = most_bits(F.filter("_tokens", lambda t: F.length(t) > 3))
     quiet = F.round(F.least(F.coalesce(top, F.lit(0.0)) / 5.5 * 0.08, F.lit(0.08)), 4)
     return (
         df.withColumn("high_entropy_count", F.size("_strong").cast("long"))
