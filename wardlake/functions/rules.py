@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -82,13 +83,44 @@ def possible(text: Column, name: str, pattern: str | None = None) -> Column:
     return met
 
 
+_LED = re.compile(r"\\b([a-z]+)(?![a-z?*+{])")
+
+
+def _whole(pattern: str) -> bool:
+    """Whether a pattern has no alternatives outside groups."""
+    depth = 0
+    for part in re.findall(r"\\.|\[(?:\\.|[^\]\\])+\]|.", pattern, re.S):
+        depth += (part == "(") - (part == ")")
+        if part == "|" and depth == 0:
+            return False
+    return True
+
+
+def _first_letters(pattern: str) -> str | None:
+    """Plain letters with which every match begins, after a word edge."""
+    m = _LED.match(pattern)
+    return m[1] if m and _whole(pattern) else None
+
+
+def led(pattern: str) -> str:
+    """The pattern with its first letters looked for before its word edge, whose test costs far more."""
+    first = _first_letters(pattern)
+    return f"(?={first}){pattern}" if first else pattern
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return text.rlike((UNICODE_NOCASE if ignore_case else UNICODE) + pattern)
+    return text.rlike((UNICODE_NOCASE if ignore_case else UNICODE) + led(pattern))
 
 
 def any_of(text: Column, patterns: Iterable[str], ignore_case: bool = True) -> Column:
-    joined = "|".join(f"(?:{p})" for p in patterns)
-    return matches(text, joined, ignore_case)
+    found, rest = F.lit(False), []
+    for p in patterns:
+        first = None if ignore_case else _first_letters(p)
+        if first:
+            found = found | (text.contains(first) & matches(text, p, ignore_case))
+        else:
+            rest.append(f"(?:{p})")
+    return found | matches(text, "|".join(rest), ignore_case) if rest else found
 
 
 def hits(text: Column, rules: Iterable[Rule], ignore_case: bool = True) -> Column:
