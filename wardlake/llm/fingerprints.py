@@ -51,6 +51,8 @@ WORD_END = rf"(?<=[\s{SCRIPTS}])"
 FINE_CHARS, FINE_BITS = 1024, 2
 #: One bit more from FINE_CHARS on, and for each growth of the length by 2 ** STEP.
 STEP = 1.5
+#: Chunks of the order for each shuffle partition.
+CHUNKS = 16
 SENTENCE_END = r"\n|(?<=[.!?…؟۔।॥]\s)|(?<=[.!?…؟۔।॥][\"'”’»)]\s)|(?<=[。！？｡])"
 
 
@@ -224,11 +226,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", diges
     With a name for ``digest``, also the digests of both, which are computed once for each row.
 
     Rows of one id are ordered by text, descending; rows without an id come last. Rows are dealt into chunks of the
-    order, and each chunk gets a copy of the first row of the chunk after it, so no window spans the table.
+    order, and each chunk gets a copy of the first row of the chunk after it, so no window spans the table. Many small
+    chunks meet in a partition, so that partitions are about as large.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("_chunk", order_chunk(rows, "doc_id"))
+    rows = rows.withColumn("_chunk", order_chunk(rows, "doc_id", CHUNKS))
     firsts = sorted(rows.groupBy("_chunk").agg(F.max("doc_id").alias("first")).collect(), key=lambda r: -r["_chunk"])
     follow = [(r["_chunk"], s["_chunk"], s["first"]) for r, s in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
     heads = spark.createDataFrame(follow, "_to long, _from long, _first long")
