@@ -10,7 +10,8 @@ cells; a cell keeps the sum of its digests, so that one whole number holds how m
 only one of them has. Peeling finds cells with a single digest, takes it out of its other cells, and so
 on. When peeling gets stuck, the sketch was too small: the digests are split by further
 bits and each part is tried with a sketch of its own, which is together a larger sketch (a
-part that looks too full is split on before it is tried); parts that are stuck again are split again. What is left after the last
+part that looks too full is split on before it is tried); parts that are stuck again are split again. Parts are flat
+arrays of digests, those of the second text negative: structs inside of lambdas cost far more than the sums. What is left after the last
 retry (tens of thousands of differing paragraphs) is compared digest by digest.
 
 Likeness of two fingerprints is the number of shared digests over the number of digests of both.
@@ -39,14 +40,17 @@ ROWS, WIDTH = 3, 8
 PART_WIDTH = 4
 ROUNDS = 6
 PARTS = 4
-RETRIES = 7
+RETRIES = 8
 #: The first of the bits of a digest that deal it to a part; those before choose its cells.
 SPLIT_FROM = CHECK_BITS + 9
 #: A sketch that is thought to hold more differing digests than this share of its cells is split further before it is tried.
 FULL = 0.6
+#: The same for parts: small sketches get stuck sooner, and a part that is stuck has been tried for nothing.
+PART_FULL = 1 / 3
 #: Scripts that are written without blanks: each character counts as a word.
 SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-WORD_END = rf"(?<=[\s{SCRIPTS}])"
+#: Below U+0E00 are none of these, so the other characters are not looked up in the tables of scripts.
+WORD_END = rf"(?<=[\s[[^\x00-\x{{DFF}}]&&[{SCRIPTS}]]])"
 #: Texts shorter than this have the finest paragraphs: after words whose hash ends with so many set bits, and at sentence ends.
 FINE_CHARS, FINE_BITS = 1024, 2
 #: One bit more from FINE_CHARS on, and for each growth of the length by 2 ** STEP.
@@ -92,31 +96,37 @@ def is_digest(value: Column) -> Column:
 
 def _rows(width: int) -> list[tuple[Column, Column]]:
     """For each row of cells, the bits of a digest that choose its cell, and their value at each cell."""
+    return [(_long((width - 1) << i), F.array(*[_long(cell << i) for cell in range(width)])) for i in _bits(width)]
+
+
+def _bits(width: int) -> list[int]:
+    """For each row of cells, the first of the bits of a digest that choose its cell."""
     bits = width.bit_length() - 1
-    at = [CHECK_BITS + row * bits for row in range(ROWS)]
-    return [(_long((width - 1) << i), F.array(*[_long(cell << i) for cell in range(width)])) for i in at]
+    return [CHECK_BITS + row * bits for row in range(ROWS)]
 
 
 def _signed(x: Column) -> Column:
     return F.when(x >= MODULUS // 2, x - MODULUS).otherwise(x)
 
 
-def sketch(items: Column, minus: Column | None = None, width: int = WIDTH) -> Column:
-    """The cells of a set of digests, or of one set minus another: sums of the digests of each cell, modulo MODULUS."""
+def sketch(items: Column, width: int = WIDTH, signed: bool = False) -> Column:
+    """The cells of a set of digests: sums of the digests of each cell, modulo MODULUS.
+
+    With ``signed``, of one set minus another, whose digests are negative in ``items``.
+    """
 
-    def total(set_: Column, mask: Column, here: Column, start: Column, sign: int) -> Column:
-        return F.aggregate(set_, start, lambda s, d: F.when(d.bitwiseAND(mask) == here, (s + d if sign > 0 else s - d).bitwiseAND(_long(MODULUS - 1))).otherwise(s))
+    def cell(first_bit: int, here: int) -> Column:
+        mask = _long((width - 1) << first_bit)
 
-    def row(mask: Column, cells: Column) -> Column:
-        def cell(here: Column) -> Column:
-            mine = total(items, mask, here, _long(0), 1)
-            return mine if minus is None else total(minus, mask, here, mine, -1)
+        def add(total: Column, d: Column) -> Column:
+            mine = (F.abs(d) if signed else d).bitwiseAND(mask) == _long(here << first_bit)
+            return F.when(mine, (total + d).bitwiseAND(_long(MODULUS - 1))).otherwise(total)
 
-        # The sign is taken in a step of its own, as it names its value three times.
-        sums = F.transform(cells, cell)
-        return sums if minus is None else F.transform(sums, _signed)
+        return F.aggregate(items, _long(0), add)
 
-    return F.concat(*[row(*r) for r in _rows(width)])
+    sums = F.array(*[cell(first_bit, here) for first_bit in _bits(width) for here in range(width)])
+    # The sign is taken in a step of its own, as it names its value three times.
+    return F.transform(sums, _signed) if signed else sums
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -156,57 +166,64 @@ def guess(cells: Column) -> Column:
     return F.aggregate(F.transform(cells, lambda x: F.round(x / (1 << ONE))), F.lit(0.0), lambda s, n: s + n * n) / ROWS
 
 
-def _stuck(n: Column, whole: Column) -> Column:
-    """The state after the first try: digests found so far, and the parts that are to be tried again."""
-    none = F.filter(whole, lambda p: F.lit(False))
-    return F.struct(F.greatest(n, F.lit(0)).alias("n"), F.when(n < 0, whole).otherwise(none).alias("parts"))
-
-
-def _retried(state: Column, level: int) -> Column:
-    """Splits the parts that got stuck by two further bits and tries each with a sketch of its own."""
+def _split(parts: Column, level: int) -> Column:
+    """The parts split by two further bits, without empty ones."""
+    first_bit = SPLIT_FROM + 2 * level
 
-    def bits(d: Column) -> Column:
-        return F.shiftright(d, SPLIT_FROM + 2 * level).bitwiseAND(_long(PARTS - 1))
+    def part(p: Column, i: int) -> Column:
+        return F.filter(p, lambda d: F.abs(d).bitwiseAND(_long((PARTS - 1) << first_bit)) == _long(i << first_bit))
 
-    def split(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.struct(F.filter(p["a"], lambda d: bits(d) == i).alias("a"), F.filter(p["b"], lambda d: bits(d) == i).alias("b"), (p["d"] / PARTS).alias("d")))
+    return F.filter(F.flatten(F.transform(parts, lambda p: F.array(*[part(p, i) for i in range(PARTS)]))), lambda p: F.size(p) > 0)
 
-    def tried(p: Column) -> Column:
-        """How many digests differ, or -1 and the part."""
-        nothing = F.size(p["a"]) + F.size(p["b"]) == 0
-        n = F.when(nothing, 0).when(p["d"] > FULL * ROWS * PART_WIDTH, -1).otherwise(F.coalesce(F.size(peel(sketch(p["a"], p["b"], PART_WIDTH), PART_WIDTH)), F.lit(-1)))
-        return F.struct(n.alias("n"), p.alias("p"))
 
-    def sum_up(r: Column) -> Column:
-        n = F.aggregate(r, state["n"], lambda s, x: s + F.greatest(x["n"], F.lit(0)))
-        return F.struct(n.alias("n"), F.transform(F.filter(r, lambda x: x["n"] < 0), lambda x: x["p"]).alias("parts"))
-
-    parts = F.transform(F.flatten(F.transform(state["parts"], split)), tried)
-    return F.when(F.size(state["parts"]) > 0, let(parts, sum_up)).otherwise(state)
+def _tried(p: Column) -> Column:
+    """How many digests of a part differ, or -1; a single digest has nothing to be taken from."""
+    return F.when(F.size(p) == 1, 1).otherwise(F.coalesce(F.size(peel(sketch(p, PART_WIDTH, signed=True), PART_WIDTH)), F.lit(-1)))
 
 
 def differing(rows: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
     """Adds to every row, for each name, how many digests only one of two sets has.
 
-    pairs: name -> columns of the two sets of digests and of their sketches. Each retry is a step of its own, so
+    pairs: name -> columns of the two sets of digests and of their sketches. Each retry is made of steps of their own, so
     that rows which are done cost no more than a look.
     """
+    cells, about, parts, tried = ({n: f"_{kind}_{n}" for n in pairs} for kind in ("cells", "about", "parts", "tried"))
 
-    def whole(p: tuple[str, str, str, str]) -> Column:
-        return F.array(F.struct(F.col(p[0]).alias("a"), F.col(p[1]).alias("b"), guess(subtract(F.col(p[2]), F.col(p[3]))).alias("d")))
+    def first(difference: Column) -> Column:
+        return F.when(guess(difference) > FULL * ROWS * WIDTH, F.lit(-1)).otherwise(F.coalesce(F.size(peel(difference)), F.lit(-1)))
 
-    def first(cells: Column) -> Column:
-        return F.when(guess(cells) > FULL * ROWS * WIDTH, F.lit(-1)).otherwise(F.coalesce(F.size(peel(cells)), F.lit(-1)))
+    def whole(name: str) -> Column:
+        """The digests of both sets as one part, if the first try got stuck."""
+        a, b = pairs[name][:2]
+        none = F.array().cast("array<array<long>>")
+        return F.when(F.col(name) < 0, F.array(F.concat(F.col(a), F.transform(F.col(b), lambda d: -d)))).otherwise(none)
 
-    out = settle(rows.withColumns({n: let(subtract(F.col(p[2]), F.col(p[3])), first) for n, p in pairs.items()}))
-    out = settle(out.withColumns({n: _stuck(F.col(n), whole(p)) for n, p in pairs.items()}))
-    for level in range(RETRIES):
-        out = settle(out.withColumns({n: _retried(F.col(n), level) for n in pairs}))
+    def attempt(name: str, level: int) -> Column:
+        """A count for each part; null if they look too full."""
+        full = F.col(about[name]) / PARTS ** (level + 1) > PART_FULL * ROWS * PART_WIDTH
+        return F.when(~full, trial[name])
+
+    def counted(name: str) -> Column:
+        return F.coalesce(F.aggregate(F.col(tried[name]), F.col(name), lambda s, n: s + F.greatest(n, F.lit(0))), F.col(name))
 
-    def exact(state: Column) -> Column:
-        return F.aggregate(state["parts"], state["n"], lambda s, p: s + F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"])))
+    def left(name: str) -> Column:
+        stuck = F.filter(F.col(parts[name]), lambda p, i: F.get(F.col(tried[name]), i) < 0)
+        return F.when(F.col(tried[name]).isNull(), F.col(parts[name])).otherwise(stuck)
 
-    return settle(out.withColumns({n: exact(F.col(n)) for n in pairs}))
+    def exact(name: str) -> Column:
+        return F.aggregate(F.col(parts[name]), F.col(name), lambda s, p: s + F.size(F.array_except(p, F.transform(p, lambda d: -d))))
+
+    # The same expression for every level, as building it takes the driver much longer than a level takes.
+    trial = {n: F.transform(F.col(parts[n]), _tried) for n in pairs}
+    out = settle(rows.withColumns({cells[n]: subtract(F.col(p[2]), F.col(p[3])) for n, p in pairs.items()}))
+    out = settle(out.withColumns({n: first(F.col(cells[n])) for n in pairs} | {about[n]: guess(F.col(cells[n])) for n in pairs}))
+    out = settle(out.withColumns({n: F.greatest(F.col(n), F.lit(0)) for n in pairs} | {parts[n]: whole(n) for n in pairs}))
+    for level in range(RETRIES):
+        out = settle(out.withColumns({parts[n]: _split(F.col(parts[n]), level) for n in pairs}))
+        out = settle(out.withColumns({tried[n]: attempt(n, level) for n in pairs}))
+        out = settle(out.withColumns({n: counted(n) for n in pairs} | {parts[n]: left(n) for n in pairs}))
+    out = settle(out.withColumns({n: exact(n) for n in pairs}))
+    return out.drop(*[c for names in (cells, about, parts, tried) for c in names.values()])
 
 
 def likeness(size_a: Column, size_b: Column, differ: Column) -> Column:
