@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.tables import kept
+from wardlake.llm.tables import kept, released
 
 
 #: A node with at least this share of all edges has its minimum broadcast: there are at most 2 / HOT_SHARE such nodes.
@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     last, n_edges = None, now.count()
     while n_edges:
-        now = kept(_small_star(_large_star(now, n_edges), n_edges).where(F.col("a") != F.col("b")).distinct(), "stars")
+        before, now = now, kept(_small_star(_large_star(now, n_edges), n_edges).where(F.col("a") != F.col("b")).distinct(), "stars")
+        released(before)
         seen = now.agg(mark.alias("m")).first()["m"]
         if seen == last:
             break

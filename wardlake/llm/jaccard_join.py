@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm.bytetext import LOWER, SPACES, bounds, mix, run_keys, runs, text_slices
 from wardlake.llm.components import components
-from wardlake.llm.tables import kept, shuffle_width
+from wardlake.llm.tables import kept, released, shuffle_width
 
 #: Texts of which common shingles are counted, and how many common shingles are handed to the tasks at most.
 SAMPLE_TEXTS, COMMON = 5_000, 50_000
@@ -242,16 +242,21 @@ def _candidates(members: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(cell, block, node, n, counts) of every class in the cells of its window that hold others, large cells in pairs of blocks."""
+    """(cell, block, node, n) of every class in the cells of its window that hold others, large cells in pairs of blocks; kept.
+
+    Sizes, places and, later, counts are queries of their own, so that disk holds the shuffle files of one of them only.
+    """
     rows = classes.select("node", "n", F.explode("prefix").alias("cell"))
-    size = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = kept(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = rows.join(size, "cell")
     groups = F.ceil(F.col("size") / LEAF).cast("int")
     mine = F.pmod(F.xxhash64("node"), groups.cast("long")).cast("int")
     # A row of group g takes part in the pairs (g, h) and (h, g) of groups.
     blocks = F.transform(F.sequence(F.lit(0), groups - 1), lambda h: F.least(mine, h).cast("long") * groups + F.greatest(mine, h))
     placed = shared.withColumn("block", F.explode(F.when(groups == 1, F.array(F.lit(0).cast("long"))).otherwise(blocks)))
-    return placed.select("cell", "block", "node", "n").join(classes.select("node", "counts"), "node")
+    placed = kept(placed.select("cell", "block", "node", "n"), "placed")
+    released(size)
+    return placed
 
 
 def _bits(twins: DataFrame) -> np.ndarray:
@@ -399,7 +404,11 @@ def _region_links(members: DataFrame, rule: Rule) -> DataFrame:
         found.append(kept(_leaf_links(_blocks(judged.where(~F.col("split"))), rule), "links"))
         placed = copies.join(filled, ["region", "cell"])
         onward = judged.where("split").drop("size").join(placed, ["region", "node"])
-        members = kept(onward.select(F.xxhash64("region", "cell").alias("region"), F.col("n").alias("size"), "node", "items"), "regions")
+        deeper = kept(onward.select(F.xxhash64("region", "cell").alias("region"), F.col("n").alias("size"), "node", "items"), "regions")
+        released(judged, *([members] if depth else []))
+        members = deeper
+    if depth:
+        released(members)
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -413,17 +422,23 @@ def join_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: s
     hash of the row's text, so that a caller can find rows again where ids repeat.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = kept(described(docs, rule), "described")
+    told = kept(described(docs, rule), "described")
+    rows = kept(told.select("doc_id", "twin", "class", "n"), "rows")
     full = rows.where("n > 0")
-    per_class = full.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"), F.min("doc_id").alias("least"), F.min("twin").alias("twin"))
+    per_class = told.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"), F.min("doc_id").alias("least"), F.min("twin").alias("twin"))
     classes = kept(per_class.withColumn("node", F.monotonically_increasing_id()), "classes")
-    forest = kept(_candidates(_members(classes), rule), "candidates")
+    released(told)
+    placed = _members(classes)
+    forest = kept(_candidates(placed.join(classes.select("node", "counts"), "node"), rule), "candidates")
     regions = components(forest)
     inside = regions.select("node", F.col("root").alias("region")).join(regions.groupBy(F.col("root").alias("region")).agg(F.count(F.lit(1)).alias("size")), "region")
     wanted = kept(inside.join(classes.select("node", "class", "twin"), "node"), "inside")
+    names = kept(classes.select("class", "node", "least"), "names")
+    released(classes, placed, forest)
     members = kept(_sets(docs, wanted, rule), "members")
     linked = components(_region_links(members, rule))
-    named = classes.select("class", "node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    released(members, wanted)
+    named = names.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "root").select("class", F.col("root").alias("component"), "component_id")
     out = full.select("doc_id", "twin", "class", "n").join(named, "class").select("doc_id", "twin", F.col("n").alias("n_shingles"), "component", "component_id")
@@ -436,11 +451,13 @@ def one_of_each(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     All columns stay as they are. Rows without shingles are all kept, and rows that repeat an id with a linked text count once.
     """
-    keep = kept(join_components(docs, rule or Rule()), "decisions").where("n_shingles > 0")
+    decided = kept(join_components(docs, rule or Rule()), "decisions")
+    keep = decided.where("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "twin")
     firsts = keep.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.twin")
     met = keep.groupBy("doc_id", "twin").agg(F.count(F.lit(1)).alias("rows"))
     stays = kept(met.join(firsts.withColumnsRenamed({"doc_id": "_id", "twin": "_t"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_t")), "left"), "stays")
+    released(decided)
     drop = stays.where(F.col("_t").isNull()).select(F.col("doc_id").alias("_id"), F.col("twin").alias("_t"))
     again = stays.where(F.col("_t").isNotNull() & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("twin").alias("_t"))
     here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_t"))

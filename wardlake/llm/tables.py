@@ -8,14 +8,33 @@ from pyspark.sql import functions as F
 from wardlake.session import shared_folder
 
 
+#: With it Spark removes the shuffle files of a query when the query ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back.
 
-    Cuts the lineage: a lost executor costs a reread, not the work before.
+    Cuts the lineage: a lost executor costs a reread, not the work before. So the shuffle files of that work go at once.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes kept tables. No frame that is still to run may read them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
