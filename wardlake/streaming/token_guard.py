@@ -15,6 +15,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ for _from, _to in zip(fixed.HOMOGLYPHS_FROM + fixed.ZERO_WIDTH, [*fixed.HOMOGLYP
 #: Single letters that may be joined; more than the rule joins.
 _JOINED = re.compile(r"(?<![a-z])[a-z](?=[\s._\-]+[a-z](?![a-z]))")
 _JOINED_END = re.compile(r"[\s._\-]+[a-z]")
+_ENDS = re.compile("|".join(map(re.escape, ENDS)))
 _WORD = re.compile(r"\w+")
 _SPACES = " \t\n\x0b\f\r"
 
@@ -54,6 +56,9 @@ def _bucket(token: str) -> int:
     return int(hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()[:8], 16) % vectors.DIMS
 
 
+_word_bucket = lru_cache(1 << 16)(_bucket)
+
+
 def _places(tokens: list, tail: int, size: int, literals: list, prompts: list, sentences: np.ndarray) -> np.ndarray:
     """Numbers (from 1) of the tokens after the tail whose windows may be the first to leak.
 
@@ -64,11 +69,17 @@ def _places(tokens: list, tail: int, size: int, literals: list, prompts: list, s
     """
     n = len(tokens)
     every = np.arange(1, n - tail + 1)
-    if None in tokens or any(not t or t[0] not in _SPACES for t in tokens[1:]) or _OTHER.search("".join(tokens)):
+    if None in tokens or any(not t or t[0] not in _SPACES for t in tokens[1:]):
+        return every
+    said = "".join(tokens)
+    if not said.isascii() and _OTHER.search(said):
         return every
-    folded = [t.translate(_FOLD).lower() for t in tokens]
-    whole = "".join(folded)
-    begin = np.cumsum([0, *map(len, folded)])
+    begin = np.cumsum([0, *map(len, tokens)])
+    ends = np.unique(np.searchsorted(begin, [m.start() for m in _ENDS.finditer(said)], side="right") - 1)
+    whole = said.lower()
+    if not said.isascii():
+        folded = [t.translate(_FOLD).lower() for t in tokens]
+        whole, begin = "".join(folded), np.cumsum([0, *map(len, folded)])
     tried = np.zeros(n + 1, np.int64)
 
     def hold(first: np.ndarray, last: np.ndarray) -> None:
@@ -82,7 +93,6 @@ def _places(tokens: list, tail: int, size: int, literals: list, prompts: list, s
             at = np.array(spans)
             hold(*(np.searchsorted(begin, x, side="right") - 1 for x in (at[:, 0], at[:, 1] - 1)))
 
-    ends = np.array([k for k, t in enumerate(tokens) if any(e in t for e in ENDS)], np.int64)
     np.add.at(tried, ends, 1)
     np.add.at(tried, ends + 1, -1)
     found([(m.start(), _JOINED_END.match(whole, m.end()).end()) for m in _JOINED.finditer(whole)])
@@ -93,12 +103,8 @@ def _places(tokens: list, tail: int, size: int, literals: list, prompts: list, s
             spans.append((at, at + max(1, len(literal))))
             at = whole.find(literal, at + 1)
         found(spans)
-    of, words = [], []
-    for k, t in enumerate(folded):
-        mine = _WORD.findall(t)
-        words += mine
-        of += [k] * len(mine)
-    owner = np.array(of, np.int64)
+    words = _WORD.findall(whole)
+    owner = np.searchsorted(begin, [m.start() for m in _WORD.finditer(whole)], side="right") - 1
     near = np.zeros(n, bool)
     first = np.maximum(np.arange(n) - size + 1, 0)
     for prompt in prompts:
@@ -108,7 +114,7 @@ def _places(tokens: list, tail: int, size: int, literals: list, prompts: list, s
     if len(sentences) and words:
         per = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
         most = int((per[1:] - per[first]).max())
-        one = sentences[:, [_bucket(w) for w in words]] * vectors.WORD_WEIGHT
+        one = sentences[:, [_word_bucket(w) for w in words]] * vectors.WORD_WEIGHT
         two = sentences[:, [_bucket(f"{a}_{b}") for a, b in zip(words, words[1:], strict=False)]] * vectors.PAIR_WEIGHT
         none = np.zeros((len(sentences), 1))
         # Sums up to each word, with and without the pair that ends in it.
@@ -128,14 +134,16 @@ def with_places(rows: DataFrame, prompts: Column, size: int) -> DataFrame:
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def find(tokens: pa.Array, tail: pa.Array, literals: pa.Array, prompts: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
-        out = []
+        out, known = [], {}
         for k in range(len(tokens)):
             said, skip, whole, words = (x[k].as_py() for x in (tokens, tail, literals, prompts))
             if whole is None or None in whole:
                 out.append(list(range(1, len(said) - skip + 1)))
                 continue
-            sentences = vectors.dense_batch(*(x.slice(k, 1).flatten() for x in (one, two)))
-            out.append(_places(said, skip, size, [x for x in whole if len(x) > leakage.MIN_PROMPT_CHARS], words, sentences).tolist())
+            key = tuple(whole)  # small letters and edges aside, the prompts, and so their sentences
+            if key not in known:
+                known[key] = vectors.dense_batch(*(x.slice(k, 1).flatten() for x in (one, two)))
+            out.append(_places(said, skip, size, [x for x in whole if len(x) > leakage.MIN_PROMPT_CHARS], words, known[key]).tolist())
         return pa.array(out, pa.list_(pa.int32()))
 
     stripped = F.transform(F.col("_prompts"), lambda p: F.lower(text.strip(p)))
