@@ -22,6 +22,8 @@ from wardlake.operators import cells
 from wardlake.session import bounded_rows
 
 MAX_CORPUS = 4096
+#: Texts whose dense vectors a task makes and compares at a time.
+QUERY_BLOCK = vectors.BLOCK_ROWS
 MATCHES = "array<struct<match_id:string,similarity:double>>"
 
 
@@ -43,10 +45,12 @@ def _listed(found: list[list[tuple]]) -> pd.Series:
 
 def _text_ranker(corpus: np.ndarray, ids: list[str], k: int):
     kind = pa.list_(pa.struct([("match_id", pa.string()), ("similarity", pa.float64())]))
+    size = QUERY_BLOCK
 
     @F.arrow_udf(MATCHES)
     def rank(one: pa.Array, two: pa.Array) -> pa.Array:
-        found = (cells.best(rows, corpus, ids, k) for rows in vectors.dense_blocks(one, two))
+        blocks = (vectors.dense_batch(one.slice(lo, size), two.slice(lo, size)) for lo in range(0, len(one), size))
+        found = (cells.best(rows, corpus, ids, k) for rows in blocks)
         return vectors.joined([pa.array([[{"match_id": i, "similarity": s} for i, s in m] for m in block], kind) for block in found], kind)
 
     return rank
